@@ -16,17 +16,22 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that the session names in spark.checkpoint.dir, which every executor can read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which every executor can read.
 
-    Where the session names none, as in tests on one machine, a temporary folder is set.
+    Where the session names none, as in tests on one machine, it is a temporary folder.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "cadence-checkpoints")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there on."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cadence-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
