@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadence.llm import decontam, linededup, minhash, packing, toxicity
+from cadence.llm import decontam, linededup, lm, minhash, packing, substrings, tokenframes, topk, toxicity, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.url_templates(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -29,16 +33,47 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenframes.encode(table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs by cosine, rounded and ranked as the operator does; a brute-force join, for small tables.
+TOPK_SQL = f"""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as e from v),
+p as (select a.vec_id, b.vec_id as neighbor_id, round(list_dot_product(a.e, b.e), {topk.PLACES}) as score from u a join u b on a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by vec_id order by score desc, neighbor_id) as rank from p)
+select vec_id, cast(rank as integer) as rank, neighbor_id, score from r where rank <= {topk.K}"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_url_templates": op2_url_templates,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_token_frames": op8_token_frames,
+    "op9_lm_scores": op9_lm_scores,
+    "op10_exact_topk": op10_exact_topk,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_templates": urltree.oracle_sql(),
+    "op10_exact_topk": TOPK_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
