@@ -4,9 +4,12 @@ Every passage of every document is a query. Impacts are divided by the score tha
 threshold, a share of that score, serves all items; retrieval is of all items above it, not of the best few.
 
 A passage is two consecutive runs of words, each as long as the longest item, so an item's copy lies whole in one of a
-document's overlapping passages. Retrieval prunes twice without loss. First, for all passages of a slice at once: common terms together can't lift an item to the threshold, so rare ones must supply the rest; the block maxima of the rare terms that a
-passage holds are summed for each block of items, and only passages with a block that can reach it go on. Those are then
-run through block-max WAND one by one.
+document's overlapping passages. The index has its items in aligned blocks and keeps every term's greatest impact in each.
+Retrieval prunes twice without loss. The pivot: common terms together can't lift an item to the threshold, so rare ones must
+supply what it lacks; only blocks with postings of a passage's rare terms are looked at. The block maxima: those of the rare
+terms, as shares of what the items lack, are summed for each passage and block, for all passages of a slice at once, and a block that can't
+reach the threshold is skipped. In the others the items are scored, by lists in order of their maxima, and given up as soon
+as the lists to come can't lift them to it.
 """
 
 from __future__ import annotations
@@ -23,33 +26,29 @@ from pyspark.sql import functions as F
 from cadence.llm.session import cut, share, with_ids
 from cadence.llm.textkernel import Hasher, buffers, mix, slices
 
-K1, B, BLOCK, THRESHOLD, OVERLAP = 1.2, 0.75, 16, 0.5, 0.6
+K1, B, BLOCK, THRESHOLD, OVERLAP = 1.2, 0.75, 4, 0.5, 0.6
 #: Items of one broadcast index; a larger benchmark is searched in as many passes over the documents as it has such parts.
 ITEMS_PER_INDEX = 100_000
 
 
 @dataclass
 class Index:
-    """Postings of term t: items and impacts bounds[t]:bounds[t + 1], by item; maxima of their runs of BLOCK items.
+    """Some items. blocks[b] has for each term its greatest impact in block b and its postings there, item to impact.
 
-    need: what rare terms must add up to for each item; tables of (rare term, block) follow in the same layout.
+    rare_block and rare_max at rare_bounds[t]:rare_bounds[t + 1] are the blocks of a rare term t, with its maxima as
+    shares of what the items lack; words are the pairs of words of questions and answers.
     """
 
     ids: np.ndarray
     words: list[tuple[np.ndarray, np.ndarray]]
     terms: np.ndarray
-    bounds: np.ndarray
-    items: np.ndarray
-    impacts: np.ndarray
+    blocks: list[dict[int, tuple[float, dict[int, float]]]]
     rare_bounds: np.ndarray
     rare_block: np.ndarray
     rare_max: np.ndarray
     longest: int
     threshold: float
 
-    def top(self, t: int) -> float:
-        return float(self.impacts[self.bounds[t] : self.bounds[t + 1]].max())
-
 
 def question_and_answer(text: str) -> tuple[str, str]:
     """The last sentence or line is the answer, what is before it the question; a single sentence is cut in its middle."""
@@ -109,49 +108,33 @@ def build_index(ids: list[int | None], texts: list[str], terms: np.ndarray, df:
     top = np.zeros(len(key))
     np.maximum.at(top, at, scaled)
     rt, rb = key // (len(hashes) // BLOCK + 1), key % (len(hashes) // BLOCK + 1)
-    grid = np.arange(len(terms) + 1)
-    return Index(np.array([-1 if ids[i] is None else ids[i] for i in use], np.int64), words, terms, np.searchsorted(t, grid), item, impact, np.searchsorted(rt, grid), rb, top, max(map(len, hashes), default=1), threshold)
-
-
-def wand(index: Index, terms: np.ndarray) -> list[tuple[int, float]]:
-    """(item, score) of all items that the distinct terms score at least the threshold, by block-max WAND."""
-    least = index.threshold - 1e-12
-    lists = [[index.items[a:b], index.impacts[a:b], float(index.impacts[a:b].max()), 0] for a, b in zip(index.bounds[terms], index.bounds[terms + 1]) if b > a]
-    out = []
-    while lists:
-        lists.sort(key=lambda x: x[0][x[3]])
-        bound, pivot = 0.0, None
-        for k, x in enumerate(lists):
-            bound += x[2]
-            if bound >= least:
-                pivot = k
-                break
-        if pivot is None:
-            break
-        item = int(lists[pivot][0][lists[pivot][3]])
-        while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][3]] == item:
-            pivot += 1
-        block, after = 0.0, int(lists[pivot + 1][0][lists[pivot + 1][3]]) if pivot + 1 < len(lists) else 1 << 60
-        for x in lists[: pivot + 1]:
-            at = int(np.searchsorted(x[0][x[3] :], item)) + x[3]
-            lo = at // BLOCK * BLOCK
-            if at < len(x[0]):
-                block += float(x[1][lo : lo + BLOCK].max())
-                after = min(after, int(x[0][min(len(x[0]), lo + BLOCK) - 1]) + 1)
-        if block >= least:
-            total = 0.0
-            for x in lists[: pivot + 1]:
-                x[3] += int(np.searchsorted(x[0][x[3] :], item))
-                if x[3] < len(x[0]) and x[0][x[3]] == item:
-                    total += float(x[1][x[3]])
-                    x[3] += 1
-            if total >= least:
-                out.append((item, total))
+    blocks: list[dict] = [{} for _ in range(len(hashes) // BLOCK + 1)]
+    for x, i, w in zip(t.tolist(), item.tolist(), impact.tolist()):
+        most, postings = blocks[i // BLOCK].get(x, (0.0, {}))
+        blocks[i // BLOCK][x] = (max(most, w), postings | {i: w})
+    longest = max(map(len, hashes), default=1)
+    return Index(np.array([ids[i] for i in use], np.int64), words, terms, blocks, np.searchsorted(rt, np.arange(len(terms) + 1)), rb, top, longest, threshold)
+
+
+def score_block(index: Index, block: int, terms: list[int]) -> list[tuple[int, float]]:
+    """(item, score) of the block's items that the distinct terms score at least the threshold."""
+    least, here = index.threshold - 1e-12, index.blocks[block]
+    lists = sorted((here[t] for t in terms if t in here), key=lambda x: -x[0])
+    rest = sum(x[0] for x in lists)
+    scores: dict[int, float] = {}
+    for most, postings in lists:
+        if rest >= least:  # a new item can still get there
+            for i, w in postings.items():
+                scores[i] = scores.get(i, 0.0) + w
         else:
-            for x in lists[: pivot + 1]:
-                x[3] += int(np.searchsorted(x[0][x[3] :], max(after, item + 1)))
-        lists = [x for x in lists if x[3] < len(x[0])]
-    return out
+            for i in [i for i, s in scores.items() if s + rest < least]:
+                del scores[i]
+            if not scores:
+                return []
+            for i in scores:
+                scores[i] += postings.get(i, 0.0)
+        rest -= most
+    return [(i, s) for i, s in scores.items() if s >= least]
 
 
 def _search(index: Index, batches: Iterator[pa.RecordBatch], overlap: float) -> Iterator[pa.RecordBatch]:
@@ -181,27 +164,30 @@ def _search(index: Index, batches: Iterator[pa.RecordBatch], overlap: float) ->
             pick = np.repeat(index.rare_bounds[t], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             where, inverse = np.unique(np.repeat(c, k) * blocks + index.rare_block[pick], return_inverse=True)
             sums = np.bincount(inverse, index.rare_max[pick], len(where))
-            there = np.searchsorted(where, where + blocks)
-            next_ = np.where((there < len(where)) & (where[np.minimum(there, len(where) - 1)] == where + blocks), sums[np.minimum(there, len(where) - 1)], 0)
-            last = np.searchsorted(where, where - blocks)
-            alone = ~((last < len(where)) & (where[np.minimum(last, len(where) - 1)] == where - blocks)) & (sums >= 1 - 1e-9)
-            passages = np.unique(np.concatenate([where[sums + next_ >= 1 - 1e-9] // blocks, where[alone] // blocks]))
+            # a passage is a run and the next; the block may occur in either alone
+            there = np.minimum(np.searchsorted(where, where + blocks), len(where) - 1)
+            both = sums + np.where(where[there] == where + blocks, sums[there], 0)
+            alone = np.isin(where - blocks, where, invert=True) & (sums >= 1 - 1e-9)
+            passages = np.unique(np.concatenate([where[both >= 1 - 1e-9], where[alone & (where // blocks > first[np.searchsorted(first, where // blocks, "right") - 1])] - blocks]))
             order = np.argsort(cell, kind="stable")
             cell, at = cell[order], at[order]
             found: dict[tuple[int, int], list[float]] = {}
-            for p in passages.tolist():
-                a, b = np.searchsorted(cell, [p, p + 2])
-                r = int(np.searchsorted(first, p, "right")) - 1
-                hits = wand(index, np.unique(at[a:b]))
-                if hits:
-                    begin = words.bounds[r] + (p - first[r]) * run
-                    have = words.hash[begin : min(begin + 2 * run, words.bounds[r + 1])]
-                    have = np.concatenate([bigrams(have), have])
-                    for item, score in hits:
-                        q, s = (float(np.isin(x, have).mean()) if len(x) else 1.0 for x in index.words[item])
-                        if min(q, s) >= overlap:
-                            best = found.setdefault((r, item), [0.0, 0.0, 0.0])
-                            best[:] = max(best, [score, q, s])
+            now, terms = -1, []
+            for passage in passages.tolist():
+                p, block = divmod(passage, blocks)
+                if p != now:
+                    a, b = np.searchsorted(cell, [p, p + 2])
+                    now, terms, have = p, np.unique(at[a:b]).tolist(), None
+                for item, score in score_block(index, block, terms):
+                    if have is None:
+                        r = int(np.searchsorted(first, p, "right")) - 1
+                        begin = words.bounds[r] + (p - first[r]) * run
+                        have = words.hash[begin : min(begin + 2 * run, words.bounds[r + 1])]
+                        have = np.concatenate([bigrams(have), have])
+                    q, s = (float(np.isin(x, have).mean()) if len(x) else 1.0 for x in index.words[item])
+                    if min(q, s) >= overlap:
+                        best = found.setdefault((r, item), [0.0, 0.0, 0.0])
+                        best[:] = max(best, [score, q, s])
             if found:
                 ids = batch.column("doc_id")
                 yield pa.RecordBatch.from_arrays(
