@@ -1,10 +1,12 @@
 """Readings of columns of numbers as space-joined spoken words, in built-in expressions.
 
-A table of the readings of 0 to 999 is folded into the plan, so a number is read by at most six look-ups.
+Values that an expression names more than once are bound by let(), so plans stay small.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +15,25 @@ from cadence.tables import CURRENCIES, MAGNITUDES, MONTHS
 
 
 def _list(words: list[str]) -> Column:
-    return F.array(*(F.lit(w) for w in words))
+    """A constant array, folded from one literal."""
+    return F.split(F.lit("|".join(words)), r"\|")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, and written into the plan once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
 
+def _hundred(n: Column) -> Column:
+    """Words of 0 to 99, none for nought."""
+    tens = F.get(_list(["", "", *speak.TENS]), F.floor(n / 10).cast("int"))
+    ones = F.get(_list(["", *speak.UNITS[1:]]), F.when(n < 20, n).otherwise(n % 10).cast("int"))
+    return _say(tens, ones)
 
-def _hundreds() -> Column:
-    return _list([" ".join(w) for w in speak.HUNDREDS])
+
+def _thousand(n: Column) -> Column:
+    """Words of 0 to 999, none for nought."""
+    return let(n, lambda n: _say(F.when(n >= 100, F.concat(F.get(_list(speak.UNITS), F.floor(n / 100).cast("int")), F.lit(" hundred"))), _hundred(n % 100)))
 
 
 def _say(*parts: Column) -> Column:
@@ -27,26 +43,37 @@ def _say(*parts: Column) -> Column:
 
 def cardinal_digits(digits: Column) -> Column:
     """Of a string of digits of any length; beyond quadrillions digit by digit."""
-    short = F.regexp_replace(digits, "^0+(?=.)", "")
-    padded = F.lpad(short, 18, "0")
-    groups = [F.get(_hundreds(), F.substring(padded, 3 * k + 1, 3).cast("int")) for k in range(6)]
-    said = _say(*(F.when(g != "", F.concat_ws(" ", g, *([F.lit(s)] if s else []))) for g, s in zip(groups, speak.SCALES)))
-    each = F.array_join(F.transform(F.split(short, "(?!^)(?=.)"), lambda d: F.get(_list(speak.UNITS), d.cast("int"))), " ")
-    return F.when(F.length(short) > 18, each).when(short == "0", "zero").otherwise(said)
+
+    def read(short: Column) -> Column:
+        padded = F.lpad(short, 18, "0")
+
+        def group(scale: Column, k: Column) -> Column:
+            said = _thousand(F.substring(padded, 3 * k + 1, F.lit(3)).cast("int"))
+            return let(said, lambda w: F.when(w != "", _say(w, scale)))
+
+        groups = F.array_join(F.transform(_list(list(speak.SCALES)), group), " ")
+        each = F.array_join(F.transform(F.split(short, "(?!^)(?=.)"), lambda d: F.get(_list(speak.UNITS), d.cast("int"))), " ")
+        return F.when(F.length(short) > 18, each).when(short == "0", "zero").otherwise(groups)
+
+    return let(F.regexp_replace(digits, "^0+(?=.)", ""), read)
 
 
 def cardinal(n: Column) -> Column:
     """Of a whole number. Null gives null."""
-    n = n.cast("decimal(38,0)")
-    return F.when(n < 0, F.concat(F.lit("negative "), cardinal_digits(F.abs(n).cast("string")))).otherwise(cardinal_digits(n.cast("string")))
+    digits = n.cast("decimal(38,0)").cast("string")
+    return F.concat(F.when(n < 0, "negative ").otherwise(""), cardinal_digits(F.ltrim(digits, F.lit("-"))))
 
 
 def to_ordinal(words: Column) -> Column:
     """The last word of a cardinal changed."""
-    out = F.when(words.endswith("y"), F.regexp_replace(words, "y$", "tieth")).otherwise(F.concat(words, F.lit("th")))
-    for word, nth in speak.IRREGULAR.items():
-        out = F.when(words.rlike(f"(^| ){word}$"), F.regexp_replace(words, f"{word}$", nth)).otherwise(out)
-    return out
+    irregular = F.str_to_map(F.lit(",".join(f"{a}:{b}" for a, b in speak.IRREGULAR.items())), F.lit(","), F.lit(":"))
+
+    def change(w: Column) -> Column:
+        last = F.regexp_extract(w, "[a-z]+$", 0)
+        nth = F.coalesce(F.try_element_at(irregular, last), F.when(last.endswith("y"), F.regexp_replace(last, "y$", "tieth")).otherwise(F.concat(last, F.lit("th"))))
+        return F.concat(F.regexp_replace(w, "[a-z]+$", ""), nth)
+
+    return let(words, change)
 
 
 def ordinal(n: Column) -> Column:
@@ -54,44 +81,55 @@ def ordinal(n: Column) -> Column:
 
 
 def year(n: Column) -> Column:
-    n = n.cast("long")
-    high, low = F.floor(n / 100).cast("int"), F.pmod(n, F.lit(100)).cast("int")
-    head, tail = F.get(_hundreds(), high), F.get(_hundreds(), low)
-    return (
-        F.when(~n.between(1000, 2099) | (n % 1000 == 0), cardinal(n))
-        .when(low == 0, F.concat(head, F.lit(" hundred")))
-        .when(n.between(2000, 2009), F.concat(F.lit("two thousand "), tail))
-        .when(low < 10, F.concat(head, F.lit(" oh "), tail))
-        .otherwise(F.concat(head, F.lit(" "), tail))
-    )
+    def read(n: Column) -> Column:
+        high, low = F.floor(n / 100).cast("int"), F.pmod(n, F.lit(100)).cast("int")
+        head = F.when(n.between(2001, 2009), "two thousand").otherwise(_hundred(high))
+        tail = F.when(low == 0, "hundred").when(low < 10, F.concat(F.when(n < 2000, "oh ").otherwise(""), _hundred(low))).otherwise(_hundred(low))
+        return F.when(~n.between(1000, 2099) | (n % 1000 == 0), cardinal(n)).otherwise(_say(head, tail))
+
+    return let(n.cast("long"), read)
+
+
+_SHAPE = r"^([-−]?)([$£€¥]?)([0-9,]*)(?:\.([0-9]*))?(?:(st|nd|rd|th)|([kmbtKMBT]))?(%?)$"
 
 
 def expand(token: Column) -> Column:
     """Words of a numeric token, empty if it isn't one; see cadence.functions.speak.expand."""
-    t = F.trim(token)
-    part = lambda k: F.regexp_extract(t, r"^([-−]?)([$£€¥]?)([0-9,]*)(?:\.([0-9]*))?(?:(st|nd|rd|th)|([kmbtKMBT]))?(%?)$", k)
-    sign, money, whole_raw, fraction, nth, letter, percent = (part(k) for k in range(1, 8))
-    letter = F.lower(letter)
-    whole = F.regexp_replace(whole_raw, ",", "")
-    cardinal_ = F.when(whole == "", "zero").otherwise(cardinal_digits(whole))
-    digits = F.array_join(F.transform(F.split(fraction, "(?!^)(?=.)"), lambda d: F.get(_list(speak.UNITS), d.try_cast("int"))), " ")
-    pointed = F.when(fraction == "", cardinal_).otherwise(F.concat(cardinal_, F.lit(" point "), digits))
-    minus, cent = F.when(sign != "", "negative").otherwise(""), F.when(percent != "", "percent").otherwise("")
-    name = lambda k: F.coalesce(*(F.when(money == c, F.lit((v.split() + ["", ""])[k])) for c, v in CURRENCIES.items()), F.lit(""))
-    unit = F.when(F.ltrim(F.lit("0"), whole) == "1", name(0)).otherwise(name(1))
-    small = F.rpad(fraction, 2, "0").try_cast("int")
-    cents = F.when(small > 0, _say(F.lit("and"), F.get(_hundreds(), small), F.when(small == 1, name(2)).otherwise(name(3))))
-    scale = F.coalesce(*(F.when(letter == k, F.lit(v)) for k, v in MAGNITUDES.items()), F.lit(""))
-    bare = (sign == "") & (money == "") & (fraction == "") & (letter == "") & (percent == "") & whole_raw.rlike("^(1[0-9]|20)[0-9]{2}$")
-    said = (
-        F.when(nth != "", _say(minus, to_ordinal(cardinal_), cent))
-        .when(bare, year(whole.try_cast("long")))
-        .when(money == "", _say(minus, pointed, letter, cent))
-        .when(letter != "", _say(minus, pointed, scale, name(1), cent))
-        .when((name(2) != "") & F.length(fraction).between(1, 2), _say(minus, cardinal_, unit, cents, cent))
-        .otherwise(_say(minus, pointed, unit, cent))
-    )
-    return F.when((whole == "") & (fraction == ""), "").otherwise(said)
+
+    def read(p: Column) -> Column:
+        sign, money, fraction, nth, letter, percent, whole, said = (p[k] for k in ("sign", "money", "fraction", "nth", "letter", "percent", "whole", "said"))
+        digits = F.array_join(F.transform(F.split(fraction, "(?!^)(?=.)"), lambda d: F.get(_list(speak.UNITS), d.try_cast("int"))), " ")
+        pointed = F.when(fraction == "", said).otherwise(F.concat(said, F.lit(" point "), digits))
+        minus, cent = F.when(sign != "", "negative"), F.when(percent != "", "percent")
+        names = [_currency(money, k) for k in range(4)]
+        unit = F.when(F.ltrim(whole, F.lit("0")) == "1", names[0]).otherwise(names[1])
+        small = F.rpad(fraction, 2, "0").try_cast("int")
+        cents = F.when(small > 0, _say(F.lit("and"), _hundred(small), F.when(small == 1, names[2]).otherwise(names[3])))
+        scale = F.coalesce(*(F.when(letter == k, F.lit(v)) for k, v in MAGNITUDES.items()), F.lit(""))
+        bare = (sign == "") & (money == "") & (fraction == "") & (letter == "") & (percent == "") & p["raw"].rlike("^(1[0-9]|20)[0-9]{2}$")
+        out = (
+            F.when(nth != "", _say(minus, to_ordinal(said), cent))
+            .when(bare, year(whole.try_cast("long")))
+            .when(money == "", _say(minus, pointed, letter, cent))
+            .when(letter != "", _say(minus, pointed, scale, names[1], cent))
+            .when((names[2] != "") & F.length(fraction).between(1, 2), _say(minus, said, unit, cents, cent))
+            .otherwise(_say(minus, pointed, unit, cent))
+        )
+        return F.when((whole == "") & (fraction == ""), "").otherwise(out)
+
+    def parts(t: Column) -> Column:
+        part = lambda k: F.regexp_extract(t, _SHAPE, k)
+        whole = F.regexp_replace(part(3), ",", "")
+        said = F.when(whole == "", "zero").otherwise(cardinal_digits(whole))
+        named = {"sign": part(1), "money": part(2), "raw": part(3), "fraction": part(4), "nth": part(5), "letter": F.lower(part(6)), "percent": part(7), "whole": whole, "said": said}
+        return F.struct(*(c.alias(k) for k, c in named.items()))
+
+    return let(let(F.trim(token), parts), read)
+
+
+def _currency(sign: Column, k: int) -> Column:
+    """Of a currency's sign: its unit, in the plural, its part, in the plural."""
+    return F.coalesce(*(F.when(sign == c, F.lit((v.split() + ["", ""])[k])) for c, v in CURRENCIES.items()), F.lit(""))
 
 
 def date(month: Column, day: Column, the_year: Column) -> Column:
