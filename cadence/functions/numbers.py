@@ -55,7 +55,7 @@ def cardinal_digits(digits: Column) -> Column:
         each = F.array_join(F.transform(F.split(short, "(?!^)(?=.)"), lambda d: F.get(_list(speak.UNITS), d.cast("int"))), " ")
         return F.when(F.length(short) > 18, each).when(short == "0", "zero").otherwise(groups)
 
-    return let(F.regexp_replace(digits, "^0+(?=.)", ""), read)
+    return F.when(digits.isNotNull(), let(F.regexp_replace(digits, "^0+(?=.)", ""), read))
 
 
 def cardinal(n: Column) -> Column:
