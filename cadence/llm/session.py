@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import pickle
 import tempfile
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -27,12 +29,28 @@ def shared_folder(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "cadence-checkpoints")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            jvm = spark.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session has ended: the folder is the cluster's to clean
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read from there on."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """df written as a table to the shared folder and read from there on; the tables go when Python ends."""
+    spark = df.sparkSession
+    if not _written:
+        atexit.register(_clean)
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
