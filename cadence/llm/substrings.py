@@ -24,8 +24,8 @@ from cadence.llm.session import cut, with_ids
 from cadence.llm.textkernel import Hasher, Words, mix, slices
 
 LEAST, GRAM, HOT = 50, 5, 2000
-#: Most documents whose anchors are broadcast.
-BROADCAST_DOCS = 300_000
+#: Most places of anchors, and documents with spans, that are broadcast.
+BROADCAST_PLACES, BROADCAST_DOCS = 200_000, 100_000
 
 
 def anchors(words: Words, least: int = LEAST) -> np.ndarray:
@@ -159,58 +159,99 @@ def _surroundings(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
                         names=["anchor", "hot", "doc_id", "start", "words"],
                     )
 
-    rows = with_ids(_texts(docs), found, "doc_id", "inner", BROADCAST_DOCS)
+    few = (found.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
+    rows = _texts(docs).join(F.broadcast(found) if few else found, "doc_id")
     return rows.select("doc_id", "text", "places").mapInArrow(run, "anchor long, hot boolean, doc_id long, start int, words binary")
 
 
-def _stream(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by anchor, and within it by doc_id and start."""
-    anchor, seen, automaton, waiting = None, set(), None, None
-    for batch in batches:
-        rows: list[tuple[int, int, int]] = []
-        columns = [batch.column(c).to_pylist() for c in ("anchor", "doc_id", "start", "words")]
-        for a, doc, start, raw in zip(*columns):
-            if a != anchor:
-                anchor, seen, automaton, waiting = a, {raw}, None, raw
-                continue
-            if raw in seen:
+class Shard:
+    """The places of one anchor, streamed by document."""
+
+    def __init__(self, least: int) -> None:
+        self.least, self.seen, self.automaton, self.waiting = least, set(), None, None
+
+    def document(self, regions: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
+        """Spans of a document that earlier documents have, or it itself at an earlier word; regions are (start, words), by start."""
+        least, out = self.least, []
+        new = []
+        for start, raw in regions:
+            if raw in self.seen:
                 if len(raw) >= 4 * least:
-                    rows.append((doc, start, start + len(raw) // 4))
+                    out.append((start, start + len(raw) // 4))
                 continue
-            seen.add(raw)
-            if automaton is None:
-                automaton = Automaton()
-                automaton.add(memoryview(waiting).cast("i").tolist())
             sequence = memoryview(raw).cast("i").tolist()
-            spans = automaton.spans(sequence, least)
-            rows.extend((doc, start + s, start + e) for s, e in spans)
+            if self.waiting is not None and self.automaton is None:
+                self.automaton = Automaton()
+                for first in self.waiting:
+                    self.automaton.add(memoryview(first).cast("i").tolist())
+            spans = self.automaton.spans(sequence, least) if self.automaton else []
+            out += [(start + s, start + e) for s, e in spans]
             if spans != [(0, len(sequence))]:
-                automaton.add(sequence)
+                new.append((raw, sequence))
+        if len(regions) > 1:  # regions may overlap, so windows are told apart by where they are
+            first: dict[bytes, int] = {}
+            for start, raw in regions:
+                for k in range(len(raw) // 4 - least + 1):
+                    if first.setdefault(raw[4 * k : 4 * (k + least)], start + k) < start + k:
+                        out.append((start + k, start + k + least))
+        self.seen.update(raw for _, raw in regions)
+        if self.automaton:
+            for _, sequence in new:
+                self.automaton.add(sequence)
+        elif new:
+            self.waiting = [raw for raw, _ in new]
+        return out
+
+
+def _stream(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by anchor, and within it by doc_id and start. Spans s to e of cold shards; windows at s, with h, of hot ones."""
+    anchor = doc = shard = None
+    regions: list[tuple[int, bytes]] = []
+
+    def spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), *columns], names=["h", "doc_id", "s", "e"])
+
+    for batch in batches:
+        hot = batch.column("hot")
+        yield from _windows(batch.filter(hot), least)
+        cold = batch.filter(pc.invert(hot))
+        rows: list[tuple[int, int, int]] = []
+        for a, d, start, raw in zip(*(cold.column(c).to_pylist() for c in ("anchor", "doc_id", "start", "words"))):
+            if a != anchor or d != doc:
+                if shard:
+                    rows += [(doc, s, e) for s, e in shard.document(regions)]
+                if a != anchor:
+                    shard = Shard(least)
+                anchor, doc, regions = a, d, []
+            regions.append((start, raw))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "s", "e"])
+            yield spans(rows)
+    if shard and (rows := [(doc, s, e) for s, e in shard.document(regions)]):
+        yield spans(rows)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _windows(rows: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
     """Hashes of all windows of each place."""
     base = np.uint64(0x9E3779B97F4A7C15)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            blobs = part.column("words").to_pylist()
-            size = np.array([len(x) // 4 for x in blobs])
-            x = np.frombuffer(b"".join(blobs), np.int32)
-            if len(x) < least:
-                continue
-            h = np.zeros(len(x) - least + 1, np.uint64)
-            mixed = mix(x.astype(np.uint64) + np.uint64(17))
-            for k in range(least):
-                h = h * base + mixed[k : k + len(h)]
-            ends = np.cumsum(size)
-            row = np.searchsorted(ends, np.arange(len(h)), "right")
-            ok = np.arange(len(h)) + least <= ends[row]
-            place, row = np.arange(len(h))[ok], row[ok]
-            start = part.column("start").to_numpy()[row] + place - (ends - size)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(mix(h[ok]).view(np.int64)), part.column("doc_id").take(pa.array(row)), pa.array(start.astype(np.int32))], names=["h", "doc_id", "s"])
+    for at in range(0, rows.num_rows, 2000):
+        part = rows.slice(at, 2000)
+        blobs = part.column("words").to_pylist()
+        size = np.array([len(x) // 4 for x in blobs])
+        x = np.frombuffer(b"".join(blobs), np.int32)
+        if len(x) < least:
+            continue
+        h = np.zeros(len(x) - least + 1, np.uint64)
+        mixed = mix(x.astype(np.uint64) + np.uint64(17))
+        for k in range(least):
+            h = h * base + mixed[k : k + len(h)]
+        ends = np.cumsum(size)
+        row = np.searchsorted(ends, np.arange(len(h)), "right")
+        ok = np.arange(len(h)) + least <= ends[row]
+        place, row = np.arange(len(h))[ok], row[ok]
+        start = part.column("start").to_numpy()[row] + place - (ends - size)[row]
+        begin = pa.array(start.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(mix(h[ok]).view(np.int64)), part.column("doc_id").take(pa.array(row)), begin, pc.add(begin, pa.scalar(least, pa.int32()))], names=["h", "doc_id", "s", "e"])
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
@@ -223,13 +264,11 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataF
     places = cut(_places(docs, least).distinct())
     often = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))
     found = places.join(often, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor", "hot")).alias("places"))
-    around = cut(_surroundings(docs, cut(found), least))
-    spec = "doc_id long, s int, e int"
-    cold = around.where("not hot").select("anchor", "doc_id", "start", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    spans = cold.mapInArrow(lambda batches: _stream(batches, least), spec)
-    windows = around.where("hot").select("doc_id", "start", "words").mapInArrow(lambda batches: _windows(batches, least), "h long, doc_id long, s int").distinct()
+    around = _surroundings(docs, cut(found), least).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
+    got = cut(around.mapInArrow(lambda batches: _stream(batches, least), "h long, doc_id long, s int, e int"))
+    windows = got.where("h is not null").select("h", "doc_id", "s", "e").distinct()
     later = windows.withColumn("first", F.min(F.struct("doc_id", "s")).over(W.partitionBy("h"))).where("doc_id <> first.doc_id or s <> first.s")
-    spans = spans.unionByName(later.select("doc_id", "s", (F.col("s") + least).alias("e"))).groupBy("doc_id", "s").agg(F.max("e").alias("e"))
+    spans = got.where("h is null").select("doc_id", "s", "e").unionByName(later.select("doc_id", "s", "e")).groupBy("doc_id", "s").agg(F.max("e").alias("e"))
     before = W.partitionBy("doc_id").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy("doc_id").orderBy("s", "e").rowsBetween(W.unboundedPreceding, 0)
     spans = spans.withColumn("new", F.when(F.col("s") <= F.max("e").over(before), 0).otherwise(1)).withColumn("run", F.sum("new").over(upto))
