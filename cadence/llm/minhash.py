@@ -25,7 +25,7 @@ SHINGLE, GROUPS, GROUP_SIZE, THRESHOLD = 3, 8, 2, 0.5
 def signatures(docs: DataFrame, shingle: int = SHINGLE, groups: int = GROUPS, size: int = GROUP_SIZE, seed: int = 7) -> DataFrame:
     """(id, f1, f2, keys): a 128-bit fingerprint of the word sequence, and the keys of the groups * groups tables.
 
-    Rows without an id or without a word are left out.
+    Rows without an id or text are left out; those without words have equal fingerprints and no keys.
     """
     random = np.random.default_rng(seed)
     flip = random.integers(0, 1 << 63, 2 * groups * size, dtype=np.uint64)
@@ -38,6 +38,10 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, groups: int = GROUPS, si
             for lo, hi, data, offsets in slices(batch.column("text")):
                 words = hasher.words(data, offsets)
                 has = np.flatnonzero(np.diff(words.bounds) > 0)
+                bare = np.flatnonzero(np.diff(words.bounds) == 0)
+                if len(bare):
+                    none = pa.array(np.zeros(len(bare), np.int64))
+                    yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(bare)), none, none, list_column(np.zeros(0, np.int64), np.zeros(len(bare) + 1, np.int64), pa.int64())], names=["id", "f1", "f2", "keys"])
                 if not len(has):
                     continue
                 h, bounds = ngrams(words, shingle)
@@ -80,7 +84,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kept_id): each document that goes, and the one of its group, of the smallest id, that stays.
 
     A group is what pairs of Jaccard similarity of at least threshold connect; the similarity is that of the sets of word
-    3-grams, a shorter text being one gram. Texts of equal words are always together. Rows with a null id or text, and texts without words,
+    3-grams, a shorter text being one gram. Texts of equal words are always together, and so are texts without words. Rows with a null id or text
     belong to no group. Rows that repeat an id count as that one document, with all their texts. Other columns are not read.
     """
     signed = cut(signatures(docs))

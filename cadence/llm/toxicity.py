@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
     y = np.column_stack([table[c].to_numpy()[order] for c in CATEGORIES]) if len(order) else np.zeros((0, len(CATEGORIES)))
     folds = (ids[order].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
-    return fit_chain(np.concatenate([*each, np.zeros(0, np.uint64)]).astype(np.uint64), rows, np.array([np.frombuffer(dense[i], float) for i in order]).reshape(len(order), -1), y, folds)
+    return fit_chain(np.concatenate([*each, np.zeros(0, np.uint64)]).astype(np.uint64), rows, np.array([np.frombuffer(dense[i], float) for i in order]), y, folds)
 
 
 class Scorer:
