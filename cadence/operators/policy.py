@@ -24,15 +24,23 @@ def classify(counted: DataFrame) -> DataFrame:
     return counted.withColumn("route", route).withColumn("oov_word", F.when(route == "oov", F.when(form == "", low).otherwise(form)))
 
 
-def route_lines(classified: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, det, oov, hard): the sum of what is sure, the words to ask for in order, and whether the line is given up."""
-    words = F.array_sort(F.collect_list(F.when(F.col("route") == "oov", F.struct("pos", "oov_word"))))
-    out = classified.groupBy(*keys).agg(F.sum(F.when(F.col("route") == "det", F.col("n")).otherwise(0)).cast("int").alias("det"), words.alias("oov"), F.max((F.col("route") == "hard").cast("int")).alias("hard"))
-    return out.select(*keys, "det", F.transform("oov", lambda x: x["oov_word"]).alias("oov"), (F.col("hard") == 1).alias("hard"))
+def route_lines(classified: DataFrame, keys: list[str], words: bool = True) -> DataFrame:
+    """(keys, det, oov_n, hard, oov): the sum of what is sure, how many words are to be asked for, whether the line is given up, and the words in order.
+
+    Partial sums leave one row for a line before the shuffle; without a scorer the words need not travel.
+    """
+    oov = F.col("route") == "oov"
+    sums = [
+        F.sum(F.when(F.col("route") == "det", F.col("n")).otherwise(0)).cast("int").alias("det"), F.count_if(oov).cast("int").alias("oov_n"), F.max((F.col("route") == "hard").cast("int")).alias("hard"),
+        *([F.array_sort(F.collect_list(F.when(oov, F.struct("pos", "oov_word")))).alias("oov")] if words else []),
+    ]
+    out = classified.groupBy(*keys).agg(*sums)
+    asked = F.transform("oov", lambda x: x["oov_word"]) if words else F.lit(None).cast("array<string>")
+    return out.select(*keys, "det", "oov_n", (F.col("hard") == 1).alias("hard"), asked.alias("oov"))
 
 
-def routing_label(det: Column, oov: Column, hard: Column) -> Column:
-    return F.when(hard, "hard").when(F.size(oov) > 0, "det+oov").otherwise("det")
+def routing_label(oov_n: Column, hard: Column) -> Column:
+    return F.when(hard, "hard").when(oov_n > 0, "det+oov").otherwise("det")
 
 
 def gate(p: Column, fuzziness: Column | float) -> Column:
@@ -64,11 +72,11 @@ def totals(routed: DataFrame, scores: DataFrame | None, keys: list[str], most: i
     Lines that are given up, or whose words at one syllable each break the budget, never reach the scorer's answers; scores has
     (word, p) of distinct words, and None stands for a scorer that isn't there.
     """
-    fits = ~F.col("hard") & (F.lit(True) if most is None else F.col("det") + F.size("oov") <= most)
-    sure = routed.where(fits & (F.size("oov") == 0)).select(*keys, F.col("det").alias("syllables"))
+    fits = ~F.col("hard") & (F.lit(True) if most is None else F.col("det") + F.col("oov_n") <= most)
+    sure = routed.where(fits & (F.col("oov_n") == 0)).select(*keys, F.col("det").alias("syllables"))
     if scores is None:
         return sure
-    asked = routed.where(fits & (F.size("oov") > 0)).select(*keys, "det", F.explode("oov").alias("word"))
+    asked = routed.where(fits & (F.col("oov_n") > 0)).select(*keys, "det", F.explode("oov").alias("word"))
     got = asked.join(scores.select("word", gate(F.col("p"), fuzziness).alias("said")), "word", "left")
     sums = got.groupBy(*keys).agg((F.first("det") + F.sum("said")).cast("int").alias("syllables"), F.count_if(F.col("said").isNull()).alias("missed"))
     return sure.unionByName(sums.where("missed = 0").select(*keys, within(F.col("syllables"), most).cast("int").alias("syllables")))

@@ -86,6 +86,39 @@ def count_tokens(tokens: DataFrame, tiers: DataFrame, keys: list[str], broadcast
     return grouped.select(*keys, "pos", "raw", n.cast("int").alias("n"), source.alias("source"), confidence.alias("confidence"), note.alias("note"))
 
 
+#: Candidates that a token is looked up by in its own row; the few tokens with more, and readings, are exploded.
+DIRECT = 4
+
+
+def split_tokens(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Words of up to DIRECT candidates, and the others that are spoken; silent tokens are in neither."""
+    spoken = tokens.where("not silent")
+    direct = F.col("words").isNull() & (F.size("candidates") <= DIRECT)
+    return spoken.where(direct), spoken.where(~direct)
+
+
+def count_direct(tokens: DataFrame, tiers: DataFrame, keys: list[str], broadcast: bool = True) -> DataFrame:
+    """(keys, pos, raw, n, source, note) of words, as count_tokens() has them, by look-ups within the row.
+
+    Nothing is exploded or grouped, so nothing is shuffled; notes hold only what decides of a line.
+    """
+    rows = tokens.select(*keys, "pos", "raw", "candidates")
+    for k in range(DIRECT):
+        known = tiers.select(F.col("word").alias(f"w{k}"), F.col("n").alias(f"n{k}"), F.col("source").alias(f"s{k}"))
+        rows = rows.withColumn(f"w{k}", F.get("candidates", k)).join(F.broadcast(known) if broadcast else known, f"w{k}", "left")
+    n, source, letters = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("int")
+    for k in reversed(range(DIRECT)):
+        hit = F.col(f"s{k}").isNotNull()
+        n, source = F.when(hit, F.col(f"n{k}")).otherwise(n), F.when(hit, F.col(f"s{k}")).otherwise(source)
+        letters = F.when(spelled(F.col(f"w{k}")), T.letters_count(F.col(f"w{k}"))).otherwise(letters)
+    bare = F.regexp_replace("raw", "^['’-]+|['’-]+$", "")
+    letters = F.when((F.size("candidates") > 0) & bare.rlike(r"^\p{Lu}{2,6}$"), T.letters_count(F.lower(bare))).otherwise(letters)
+    rows = rows.select(*keys, "pos", "raw", "candidates", n.alias("hit_n"), source.alias("hit"), letters.alias("letters"))
+    note = F.when(F.col("hit") == "abstain", "ambiguous initialism").when(F.size("candidates") == 0, "roman numeral (ambiguous); OOV").when(F.col("hit").isNull() & F.col("letters").isNull(), "OOV").otherwise("")
+    count = F.when(F.col("hit").isNotNull(), F.coalesce("hit_n", F.lit(0))).otherwise(F.coalesce("letters", F.lit(0)))
+    return rows.select(*keys, "pos", "raw", count.cast("int").alias("n"), F.coalesce("hit", F.when(F.col("letters").isNotNull(), "letters"), F.lit("abstain")).alias("source"), note.alias("note"))
+
+
 def analyze(counted: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, total, confident, n_uncertain) of each line that has a token."""
     unsure = (F.col("confidence") == "none") | (F.col("source") == "abstain")

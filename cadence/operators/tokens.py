@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cadence import schemas
 from cadence.functions import text as T
+from cadence.operators.scalar import trace_text
 from cadence.operators.scan import scan
 from cadence.tables import CONTRACTION
 
@@ -55,14 +56,30 @@ def numerals_of(lexicon: DataFrame) -> frozenset[str]:
     return frozenset(r["word"] for r in rows)
 
 
-def tokenize(lines: DataFrame, numerals: frozenset[str], text: str = "text") -> DataFrame:
-    """lines with tokens, an array. A null text has null tokens, an empty one none.
+def counted_tokens(text: Column, lexicon) -> Column:
+    """Tokens of any line with their counts, as the plan's joins would give them; lexicon is a broadcast dictionary."""
+
+    @F.pandas_udf(schemas.T.ArrayType(schemas.COUNTED))
+    def run(texts: pd.Series) -> pd.Series:
+        known = lexicon.value
+        return texts.map(lambda t: None if t is None else [dict(zip(schemas.COUNTED.names, x)) for x in trace_text(t, known)])
+
+    return run(text)
+
+
+def branches(lines: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Plain lines, and the others.
 
     A guard inside one expression would not keep plain lines from Python, so they are a branch of their own.
     """
-    plain = lines.where(is_plain(F.col(text))).withColumn("tokens", plain_tokens(F.col(text)))
-    other = lines.where(~F.coalesce(is_plain(F.col(text)), F.lit(False))).withColumn("tokens", scanned_tokens(F.col(text), numerals))
-    return plain.unionByName(other)
+    plain = is_plain(F.col(text))
+    return lines.where(plain), lines.where(~F.coalesce(plain, F.lit(False)))
+
+
+def tokenize(lines: DataFrame, numerals: frozenset[str], text: str = "text") -> DataFrame:
+    """lines with tokens, an array. A null text has null tokens, an empty one none."""
+    plain, odd = branches(lines, text)
+    return plain.withColumn("tokens", plain_tokens(F.col(text))).unionByName(odd.withColumn("tokens", scanned_tokens(F.col(text), numerals)))
 
 
 def explode_tokens(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadence.operators import policy, resolve, tokens
 from cadence.operators.scorer import Scorer
+from cadence.tables import SEED_LEXICON
 
 KEY = ["line_key"]
 
@@ -23,36 +24,61 @@ def trace(lines: DataFrame, lexicon: DataFrame | None = None, key: str = "line_i
     return resolve.count_tokens(scanned, resolve.tier_table(words), KEY, small).withColumnRenamed("line_key", key)
 
 
+def _spoken(lines: DataFrame, lexicon: DataFrame | None, key: str, text: str) -> DataFrame:
+    """(line_key, pos, raw, n, source, note) of all spoken tokens, nothing exploded being grouped again.
+
+    Plain lines are looked up by joins within the row. The other lines are counted in the batches that scan them, as long as the lexicon can
+    be sent along; with a larger one their words are joined too.
+    """
+    spark, names = lines.sparkSession, ["line_key", "pos", "raw", "n", "source", "note"]
+    words = _lexicon(spark, lexicon)
+    small = lexicon is None or words.count() <= resolve.BROADCAST_WORDS
+    tiers = resolve.tier_table(words)
+    lines = lines.select(F.col(key).alias("line_key"), F.col(text).alias("text"))
+    if not small:
+        scanned = tokens.explode_tokens(tokens.tokenize(lines, tokens.numerals_of(words)).drop("text"))
+        direct, other = resolve.split_tokens(scanned)
+        return resolve.count_direct(direct, tiers, KEY, False).select(names).unionByName(resolve.count_tokens(other, tiers, KEY, False).select(names))
+    plain, odd = tokens.branches(lines)
+    known = SEED_LEXICON if lexicon is None else {r["word"]: r["primary"] for r in words.select("word", "primary").toLocalIterator()}
+    direct = resolve.count_direct(tokens.explode_tokens(plain.withColumn("tokens", tokens.plain_tokens(F.col("text"))).drop("text")).where("not silent"), tiers, KEY)
+    counted = tokens.explode_tokens(odd.withColumn("tokens", tokens.counted_tokens(F.col("text"), spark.sparkContext.broadcast(known))).drop("text"))
+    return direct.select(names).unionByName(counted.select(names))
+
+
 def analyze(lines: DataFrame, lexicon: DataFrame | None = None, key: str = "line_id", text: str = "text") -> DataFrame:
-    """(key, total, confident, n_uncertain) of every line; one without tokens has a sure total of 0."""
-    sums = resolve.analyze(trace(lines, lexicon, key, text), [key])
-    out = lines.select(key).join(sums, key, "left")
-    return out.select(key, F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("confident", F.lit(True)).alias("confident"), F.coalesce("n_uncertain", F.lit(0)).alias("n_uncertain"))
+    """(key, total, confident, n_uncertain) of every line; one without tokens has a sure total of 0. key must identify lines."""
+    spoken = _spoken(lines, lexicon, key, text).select("line_key", "n", (F.col("source") == "abstain").cast("int").alias("unsure"))
+    every = lines.select(F.col(key).alias("line_key"), F.lit(0).alias("n"), F.lit(0).alias("unsure"))
+    sums = spoken.unionByName(every).groupBy("line_key").agg(F.sum("n").cast("int").alias("total"), F.sum("unsure").cast("int").alias("n_uncertain"))
+    return sums.select(F.col("line_key").alias(key), "total", (F.col("n_uncertain") == 0).alias("confident"), "n_uncertain")
 
 
-def count_lines(
-    lines: DataFrame, lexicon: DataFrame | None = None, scorer: Scorer | None = None, max_syllables: int | None = None, fuzziness: float = 0.0, key: str = "line_id", text: str = "text", distinct: bool = True
-) -> DataFrame:
-    """lines with syllables: the sure count, or null.
+def count_keys(lines: DataFrame, lexicon: DataFrame | None = None, scorer: Scorer | None = None, max_syllables: int | None = None, fuzziness: float = 0.0, key: str = "line_id", text: str = "text") -> DataFrame:
+    """(key, syllables) of the lines that have a sure count; key must identify lines.
 
-    Equal texts are counted once when `distinct`; the scorer sees each unknown word once, and none of lines that are settled without it.
-    An empty text has 0, a null one null.
+    One row of sums for each line is shuffled, texts are not. The scorer sees each unknown word once, and none of lines that are settled
+    without it. An empty text has 0; a null one is left out.
     """
-    texts = lines.select(F.col(text).alias("line_key")).where("line_key is not null")
-    texts = texts.distinct() if distinct else texts
-    words = _lexicon(lines.sparkSession, lexicon)
-    small = lexicon is None or words.count() <= resolve.BROADCAST_WORDS
-    scanned = tokens.explode_tokens(tokens.tokenize(texts.withColumn("text", F.col("line_key")), tokens.numerals_of(words)).drop("text"))
-    counted = resolve.count_tokens(scanned, resolve.tier_table(words), KEY, small)
-    routed = policy.route_lines(policy.classify(counted), KEY)
+    texts = lines.where(F.col(text).isNotNull())
+    spoken = policy.classify(_spoken(texts, lexicon, key, text)).select("line_key", "pos", "n", "route", "oov_word")
+    every = texts.select(F.col(key).alias("line_key"), F.lit(-1).alias("pos"), F.lit(0).alias("n"), F.lit("det").alias("route"), F.lit(None).cast("string").alias("oov_word"))
+    routed = policy.route_lines(spoken.unionByName(every), KEY, scorer is not None)
     scores = None
     if scorer is not None:
-        asked = routed.where(~F.col("hard") & (F.lit(True) if max_syllables is None else F.col("det") + F.size("oov") <= max_syllables))
+        asked = routed.where(~F.col("hard") & (F.lit(True) if max_syllables is None else F.col("det") + F.col("oov_n") <= max_syllables))
         scores = scorer(asked.select(F.explode("oov").alias("word")).distinct())
-    sums = policy.totals(routed, scores, KEY, max_syllables, fuzziness)
-    blank = texts.where(~F.col("line_key").rlike(r"\S")).select("line_key", F.lit(0).alias("syllables")).distinct()
-    sums = sums.unionByName(blank)
-    return lines.join(sums.withColumnRenamed("line_key", text), text, "left").select(*lines.columns, "syllables")
+    return policy.totals(routed, scores, KEY, max_syllables, fuzziness).withColumnRenamed("line_key", key)
+
+
+def count_lines(lines: DataFrame, lexicon: DataFrame | None = None, scorer: Scorer | None = None, max_syllables: int | None = None, fuzziness: float = 0.0, key: str = "line_id", text: str = "text") -> DataFrame:
+    """lines with syllables: the sure count, or null; see count_keys(), which spares the join that brings the lines back."""
+    return lines.join(count_keys(lines, lexicon, scorer, max_syllables, fuzziness, key, text), key, "left").select(*lines.columns, "syllables")
+
+
+def haiku_keys(lines: DataFrame, **settings) -> DataFrame:
+    """(key, syllables) of the lines that are surely of 5 or 7."""
+    return count_keys(lines, max_syllables=7, **settings).where(F.col("syllables").isin(5, 7))
 
 
 def haiku_lines(lines: DataFrame, **settings) -> DataFrame:
@@ -89,7 +115,6 @@ def register(spark: SparkSession, lexicon: dict[str, int] | None = None) -> None
     from pyspark.sql.functions import udf, udtf
 
     from cadence.operators.scalar import count_text, trace_text
-    from cadence.tables import SEED_LEXICON
 
     words = dict(SEED_LEXICON if lexicon is None else lexicon)
     spark.udf.register("syllable_count", udf(lambda t: None if t is None else count_text(t, words), "int"))

@@ -316,7 +316,8 @@ def budget_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def haiku_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: which lines of all documents are surely of 5 or 7 syllables."""
-    return api.haiku_lines(document_lines(spark, sf_dir)).where("syllables is not null").select("doc_id", "line_no", "syllables")
+    lines = document_lines(spark, sf_dir).select(F.struct("doc_id", "line_no").alias("line_id"), "text")
+    return api.haiku_keys(lines).select("line_id.doc_id", "line_id.line_no", "syllables")
 
 
 @query()

@@ -36,6 +36,14 @@ def test_the_plan_equals_the_scalar_reading(spark):
     assert {r["text"]: r["syllables"] for r in api.count_lines(frame(spark, LINES)).collect()} == {t: count_text(t, LEXICON) for t in LINES}
 
 
+def test_a_lexicon_too_large_to_send_along_gives_the_same(spark, monkeypatch):
+    known = resolve.seed_lexicon(spark)
+    want = sorted((r["line_id"], r["syllables"]) for r in api.count_lines(frame(spark, LINES), known).collect())
+    monkeypatch.setattr(resolve, "BROADCAST_WORDS", 10)
+    assert sorted((r["line_id"], r["syllables"]) for r in api.count_lines(frame(spark, LINES), known).collect()) == want
+    assert want == sorted((k, count_text(t, LEXICON)) for k, t in enumerate(LINES))
+
+
 def test_analyze_keeps_lines_and_their_verdict(spark):
     rows = {r["line_id"]: (r["total"], r["confident"], r["n_uncertain"]) for r in api.analyze(frame(spark, ["https://x.com/y z", "", "lol cat", None])).collect()}
     assert rows == {0: (4, True, 0), 1: (0, True, 0), 2: (1, False, 1), 3: (0, True, 0)}
@@ -91,7 +99,7 @@ def test_scanning_never_fails_and_marks_change_nothing(text):
 def test_repartitioning_changes_nothing(spark):
     df = frame(spark, LINES)
     key = lambda d: sorted((r["line_id"], r["syllables"]) for r in d.collect())
-    assert key(api.count_lines(df.repartition(7))) == key(api.count_lines(df.coalesce(1), distinct=False))
+    assert key(api.count_lines(df.repartition(7))) == key(api.count_lines(df.coalesce(1)))
 
 
 def test_model_weights(spark, tmp_path):
