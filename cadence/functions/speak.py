@@ -9,13 +9,16 @@ import re
 
 from cadence.tables import CURRENCIES, MAGNITUDES, MONTHS, SPELLED_LABELS
 
-UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+Words = list[str]
+ENDINGS = frozenset("st nd rd th".split())
+DIGITS = "zero one two three four five six seven eight nine".split()
+UNITS = [*DIGITS, *"ten eleven twelve".split(), *(x + "teen" for x in "thir four fif six seven eigh nine".split())]
+TENS = [x + "ty" for x in "twen thir for fif six seven eigh nine".split()]
 SCALES = ("quadrillion", "trillion", "billion", "million", "thousand", "")
-IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+IRREGULAR = dict(x.split(":") for x in "one:first two:second three:third five:fifth eight:eighth nine:ninth twelve:twelfth".split())
 
 
-def below_hundred(n: int) -> list[str]:
+def below_hundred(n: int) -> Words:
     """No word for nought."""
     if n < 20:
         return UNITS[n : n + 1] if n else []
@@ -26,7 +29,7 @@ def below_hundred(n: int) -> list[str]:
 HUNDREDS = [([UNITS[n // 100], "hundred"] if n > 99 else []) + below_hundred(n % 100) for n in range(1000)]
 
 
-def cardinal(digits: str) -> list[str]:
+def cardinal(digits: str) -> Words:
     """A number of any length, by its digits; beyond quadrillions digit by digit."""
     digits = digits.lstrip("0") or "0"
     if len(digits) > 18:
@@ -39,13 +42,13 @@ def cardinal(digits: str) -> list[str]:
     return out or ["zero"]
 
 
-def to_ordinal(words: list[str]) -> list[str]:
+def to_ordinal(words: list[str]) -> Words:
     """Only the last word changes. Words in -y get -tieth for it, as the readings that counts were set for have it."""
     last = words[-1]
     return [*words[:-1], IRREGULAR.get(last) or (last[:-1] + "tieth" if last[-1] == "y" else last + "th")]
 
 
-def year(n: int) -> list[str]:
+def year(n: int) -> Words:
     century, rest = divmod(n, 100)
     if not 1000 <= n <= 2099 or n % 1000 == 0:
         return cardinal(str(n))
@@ -56,11 +59,16 @@ def year(n: int) -> list[str]:
     return [*cardinal(str(century)), *(["oh", UNITS[rest]] if rest < 10 else below_hundred(rest))]
 
 
-def plain(digits: str) -> list[str]:
+def plain(digits: str) -> Words:
     return cardinal(digits or "0")
 
 
-def expand(token: str) -> list[str]:
+def _numeric(text: str) -> bool:
+    whole, _, part = text.replace(",", "").partition(".")
+    return (whole + part).isdigit()
+
+
+def expand(token: str) -> Words:
     """Words of one numeric token, none if it isn't one.
 
     A currency makes k, m, b and t multipliers; elsewhere they are letters. Four digits alone from 1000 to 2099 are a year.
@@ -73,13 +81,13 @@ def expand(token: str) -> list[str]:
     percent = rest.endswith("%")
     rest = rest[: len(rest) - percent]
     letter = rest[-1:].lower()
-    if letter in MAGNITUDES and rest[:-1].replace(",", "").replace(".", "", 1).isdigit():
+    if letter in MAGNITUDES and _numeric(rest[:-1]):
         rest = rest[:-1]
     else:
         letter = ""
     commas = "," in rest
     ending = rest[-2:].lower()
-    nth = ending in ("st", "nd", "rd", "th") and rest[:-2].isdigit()
+    nth = ending in ENDINGS and rest[:-2].isdigit()
     rest = (rest[:-2] if nth else rest).replace(",", "")
     whole, _, fraction = rest.partition(".")
     if not (whole + fraction).isdigit():
@@ -104,7 +112,7 @@ def expand(token: str) -> list[str]:
     return sign + [*pointed, unit] + tail
 
 
-def date(month: int, day: int, the_year: int) -> list[str]:
+def date(month: int, day: int, the_year: int) -> Words:
     """None of a month or day that no calendar has; days are not checked against months."""
     if not (1 <= month <= 12 and 1 <= day <= 31):
         return []
@@ -113,24 +121,24 @@ def date(month: int, day: int, the_year: int) -> list[str]:
     return [MONTHS[month - 1], *to_ordinal(cardinal(str(day))), *year(the_year)]
 
 
-def clock(hour: int, minute: int, half: str | None) -> list[str]:
+def clock(hour: int, minute: int, half: str | None) -> Words:
     if hour > 23 or minute > 59:
         return []
     past = ["o", "clock"] if not minute else ["oh", UNITS[minute]] if minute < 10 else below_hundred(minute)
     return cardinal(str(hour)) + past + ([half.lower(), "m"] if half else [])
 
 
-def fraction(top: int, bottom: int) -> list[str]:
+def fraction(top: int, bottom: int) -> Words:
     part = {2: "half", 4: "quarter"}.get(bottom) or to_ordinal(cardinal(str(bottom)))[-1]
     if top != 1:
         part = "halves" if part == "half" else part + "s"
     return [*cardinal(str(top)), part]
 
 
-_PIECE = re.compile(r"(?P<digits>\d+)|[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_PIECE = re.compile(r"(?P<digits>\d+)|[A-Z]{1,}(?![a-z])|(?:[A-Z]|)[a-z]{1,}")
 
 
-def split_handle(name: str) -> list[str]:
+def split_handle(name: str) -> Words:
     """Words of a camel-cased or underscored name; runs of digits are read, other scripts are dropped."""
     out: list[str] = []
     for m in _PIECE.finditer(name):
@@ -146,10 +154,11 @@ _SCHEME = re.compile(r"(?i)^https?://")
 
 
 def host_of(link: str) -> str:
-    return re.split("[/?]", link, maxsplit=1)[0].rstrip(".,!?)]}'\"")
+    """What comes before path and query, without closing marks."""
+    return re.match("[^/?]*", link).group().rstrip("\"')]}!?,.")
 
 
-def read_host(link: str) -> list[str]:
+def read_host(link: str) -> Words:
     """Labels with a dot between them; www and some top levels are spelled."""
     out: list[str] = []
     for k, label in enumerate(filter(None, host_of(_SCHEME.sub("", link)).split("."))):
@@ -159,7 +168,7 @@ def read_host(link: str) -> list[str]:
     return out
 
 
-def read_email(address: str) -> list[str]:
+def read_email(address: str) -> Words:
     local, _, host = address.partition("@")
     out: list[str] = []
     for k, piece in enumerate(local.split(".")):
@@ -167,7 +176,7 @@ def read_email(address: str) -> list[str]:
     return [*out, "at", *read_host(host)]
 
 
-_ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+_ROMAN = dict(zip("MDCLXVI", (1000, 500, 100, 50, 10, 5, 1)))
 ROMAN_SHAPE = re.compile("M{0,4}(?:C[MD]|D?C{0,3})(?:X[CL]|L?X{0,3})(?:I[XV]|V?I{0,3})")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from itertools import filterfalse
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,8 +13,14 @@ from pyspark.sql.types import StringType
 from cadence.functions import numbers
 from cadence.tables import APOSTROPHES, EMOJI, EMOJI_CLASS, REGISTRY_LABELS, SPELLED_LABELS, TLDS, VULGAR
 
+
+
+def _base(text: str) -> str:
+    return "".join(filterfalse(unicodedata.combining, unicodedata.normalize("NFKD", text)))
+
+
 #: Letters below U+0250 that decompose to a letter and marks, and that letter.
-_MARKED = {chr(c): d for c in range(0xC0, 0x250) if len(d := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) == 1 and d != chr(c)}
+_MARKED = {chr(c): d for c in range(0xC0, 0x250) if len(d := _base(chr(c))) == 1 and d != chr(c)}
 
 
 def fold_apostrophes(text: Column) -> Column:
@@ -35,7 +42,7 @@ def nfkc(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def strip_marks_any(texts: pd.Series) -> pd.Series:
     """NFKD without combining marks, for any script."""
-    return texts.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+    return texts.map(lambda t: t if t is None or t.isascii() else _base(t))
 
 
 def strip_marks(text: Column) -> Column:
@@ -80,7 +87,7 @@ def encode_ids(word: Column, width: int = 24) -> Column:
 
 def split_handle(name: Column) -> Column:
     """Words of a camel-cased or underscored name, as an array."""
-    pieces = F.regexp_extract_all(name, F.lit("[0-9]+|[A-Z]+(?![a-z])|[A-Z]?[a-z]+"), F.lit(0))
+    pieces = F.regexp_extract_all(name, F.lit("(?:[A-Z]|)[a-z]{1,}|[A-Z]{1,}(?![a-z])|[0-9]+"), F.lit(0))
     return F.flatten(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]"), F.split(numbers.expand(p), " ")).otherwise(F.array(F.lower(p)))))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cadence.functions import text as T
 
 TOP, MARGIN = 0.85, 0.35
+#: Strictness settings that are tried in turn.
+STEPS = tuple(k / 4 for k in range(5))
 
 
 def classify(counted: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def gate(p: Column, fuzziness: Column | float) -> Column:
     return F.when((top >= (1 - f) * TOP) & (top - second >= (1 - f) * MARGIN), at).cast("int")
 
 
-def lowest_fuzziness(p: Column, steps: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> Column:
+def lowest_fuzziness(p: Column, steps: tuple[float, ...] = STEPS) -> Column:
     """The least of some strictness settings that accepts."""
     return F.coalesce(*(F.when(gate(p, s).isNotNull(), F.lit(s)) for s in steps))
 

@@ -12,19 +12,27 @@ def _aloud(word: str) -> int:
     return len(word) + 2 * word.count("w")
 
 
-def _word(forms: list[str], raw: str, lexicon: dict[str, int]) -> tuple[int, str, str, str]:
+Answer = tuple[int, str, str, str]
+
+
+def _unsure(why: str) -> Answer:
+    return 0, "abstain", "none", why
+
+
+def _word(forms: list[str], raw: str, lexicon: dict[str, int]) -> Answer:
     for form in forms:
         if form in SLANG:
             return SLANG[form], "slang", "exact", ""
         if form in AMBIGUOUS:
-            return 0, "abstain", "none", "ambiguous initialism"
+            return _unsure("ambiguous initialism")
         for source, table in (("initialism", INITIALISM), ("cmudict", lexicon), ("acronym", ACRONYM)):
             if form in table:
                 return table[form], source, "exact", ""
     capitals = [raw.lower()] if forms and 1 < len(raw) < 7 and raw.isalpha() and raw.isupper() else []
     for form in capitals + [f for f in forms if 1 < len(f) < 7 and f.isalpha() and not set("aeiouy") & set(f)]:
-        return _aloud(form), "letters", "exact", "-".join(form)
-    return 0, "abstain", "none", "OOV"
+        dashed = "-".join(form)
+        return _aloud(form), "letters", "exact", dashed
+    return _unsure("OOV")
 
 
 def trace_text(text: str, lexicon: dict[str, int]) -> list[Traced]:
@@ -41,9 +49,11 @@ def trace_text(text: str, lexicon: dict[str, int]) -> list[Traced]:
             lost = [w for w, (_, source) in said if source == "abstain"]
             total = sum(n for _, (n, _) in said)
             if lost:
-                out.append((raw, total, "abstain", "approx", f"{note} [OOV: {' '.join(lost)}]".strip()))
+                why = f"{note} [OOV: {' '.join(lost)}]"
+                out.append((raw, total, "abstain", "approx", why.strip()))
             else:
-                out.append((raw, total, kind, "approx" if approx else "exact", note))
+                sure = ("exact", "approx")[approx]
+                out.append((raw, total, kind, sure, note))
     return out
 
 

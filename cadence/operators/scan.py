@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from itertools import filterfalse
 
 from cadence.functions import speak
 from cadence.tables import APOSTROPHES, CONTRACTION, EMOJI, EMOJI_RANGES, REGISTRY_LABELS, SHORTHAND, SYMBOL, TLDS, VULGAR
@@ -23,10 +24,10 @@ _RUN = re.compile("(?P<glyphs>[{0}]+)|[^{0}]+".format("".join(f"{chr(a)}-{chr(b)
 def is_url(body: str) -> bool:
     if re.match(r"(?i)https?://|www\.", body):
         return True
-    labels = [x.lower() for x in speak.host_of(body).split(".") if x]
-    if len(labels) < 2:
+    *inner, top = [""] + list(filter(None, speak.host_of(body).lower().split(".")))
+    labels = inner[1:] + [top]
+    if not inner or len(labels) == 1:
         return False
-    top = labels[-1]
     if top in TLDS or {"/", "?"} & set(body) and len(top) > 1 and top.isalpha():
         return True
     return len(labels) > 2 and len(top) == 2 and labels[-2] in REGISTRY_LABELS
@@ -45,7 +46,7 @@ def looks_junk(word: str) -> bool:
 
 
 def strip_marks(text: str) -> str:
-    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return text if text.isascii() else "".join(filterfalse(unicodedata.combining, unicodedata.normalize("NFKD", text)))
 
 
 def collapse(word: str) -> list[str]:
@@ -107,7 +108,7 @@ _SHORT = re.compile(r"(?i)(?:w/o|w/|b/c)(?![/\w])")
 _DIGIT_READERS = [
     (re.compile(rf"\b(?P<y>\d{{4}})-(?P<a>{_TWO})-(?P<b>{_TWO})\b"), _spoken("date", "date", lambda m: speak.date(int(m["a"]), int(m["b"]), int(m["y"])), True)),
     (re.compile(rf"\b(?P<a>{_TWO})/(?P<b>{_TWO})/(?P<y>\d{{2,4}})\b"), _spoken("date", "date", _slash_date, True)),
-    (re.compile(rf"(?i)(?P<h>{_TWO}):(?P<m>[0-5]\d)(?::\d\d)?\s*(?P<half>[ap])[.]?\s?m[.]?"), _spoken("time", "time", lambda m: speak.clock(int(m["h"]), int(m["m"]), m["half"]), True)),
+    (re.compile(rf"(?i)(?P<h>{_TWO}):(?P<m>[0-5]\d)(?::\d{{2}})?\s*(?P<half>[ap])[.]?\s?m[.]?"), _spoken("time", "time", lambda m: speak.clock(int(m["h"]), int(m["m"]), m["half"]), True)),
     (re.compile(rf"\b(?P<h>{_TWO}):(?P<m>[0-5]\d)(?![:\d])"), _spoken("time", "time", lambda m: speak.clock(int(m["h"]), int(m["m"]), None), True)),
     (re.compile(r"\b(?P<a>\d{1,3})-(?P<b>\d{1,3})(?![-\w])"), _spoken("ratio", "ratio", lambda m: speak.plain(m["a"]) + speak.plain(m["b"]), True)),
     (re.compile(rf"\b(?P<a>{_TWO})/(?P<b>{_TWO})(?![/\d])"), _spoken("fraction", "fraction", lambda m: speak.fraction(int(m["a"]), int(m["b"])), True)),

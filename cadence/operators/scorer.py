@@ -20,8 +20,9 @@ Scorer = Callable[[DataFrame], DataFrame]
 def encode(words: list[str]) -> np.ndarray:
     out = np.zeros((len(words), WIDTH), np.int32)
     for k, w in enumerate(words):
-        ids = [ord(c) - 96 for c in w.lower() if "a" <= c <= "z"][:WIDTH]
-        out[k, : len(ids)] = ids
+        letters = np.frombuffer(w.lower().encode("utf-32-le"), np.uint32).astype(np.int64) - 96
+        letters = letters[(letters > 0) & (letters < 27)][:WIDTH]
+        out[k, : len(letters)] = letters
     return out
 
 
@@ -74,7 +75,8 @@ def random_weights(seed: int = 0, **caps) -> dict[str, np.ndarray]:
 
 def save_weights(path: str, weights: dict[str, np.ndarray], **caps) -> None:
     meta = {"format": 1, "alphabet": ALPHABET, "max_len": WIDTH, "num_classes": CLASSES, "caps": caps, "paths": [n for n, _ in shapes(**caps)]}
-    np.savez(path, meta=np.array(json.dumps(meta)), **{f"p{k}": weights[n] for k, (n, _) in enumerate(shapes(**caps))})
+    arrays = {f"p{k}": weights[n] for k, (n, _) in enumerate(shapes(**caps))}
+    np.savez(path, **arrays, meta=json.dumps(meta))
 
 
 def load_weights(path: str) -> dict[str, np.ndarray]:

@@ -54,7 +54,7 @@ def analyze(lines: DataFrame, lexicon: DataFrame | None = None, key: str = "line
     return sums.select(F.col("line_key").alias(key), "total", (F.col("n_uncertain") == 0).alias("confident"), "n_uncertain")
 
 
-def count_keys(lines: DataFrame, lexicon: DataFrame | None = None, scorer: Scorer | None = None, max_syllables: int | None = None, fuzziness: float = 0.0, key: str = "line_id", text: str = "text") -> DataFrame:
+def count_keys(lines: DataFrame, lexicon: DataFrame | None = None, scorer: Scorer | None = None, fuzziness: float = 0.0, max_syllables: int | None = None, key: str = "line_id", text: str = "text") -> DataFrame:
     """(key, syllables) of the lines that have a sure count; key must identify lines.
 
     One row of sums for each line is shuffled, texts are not. The scorer sees each unknown word once, and none of lines that are settled
@@ -71,9 +71,9 @@ def count_keys(lines: DataFrame, lexicon: DataFrame | None = None, scorer: Score
     return policy.totals(routed, scores, KEY, max_syllables, fuzziness).withColumnRenamed("line_key", key)
 
 
-def count_lines(lines: DataFrame, lexicon: DataFrame | None = None, scorer: Scorer | None = None, max_syllables: int | None = None, fuzziness: float = 0.0, key: str = "line_id", text: str = "text") -> DataFrame:
+def count_lines(lines: DataFrame, lexicon: DataFrame | None = None, scorer: Scorer | None = None, fuzziness: float = 0.0, max_syllables: int | None = None, key: str = "line_id", text: str = "text") -> DataFrame:
     """lines with syllables: the sure count, or null; see count_keys(), which spares the join that brings the lines back."""
-    return lines.join(count_keys(lines, lexicon, scorer, max_syllables, fuzziness, key, text), key, "left").select(*lines.columns, "syllables")
+    return lines.join(count_keys(lines, lexicon, scorer, fuzziness, max_syllables, key, text), key, "left").select(*lines.columns, "syllables")
 
 
 def haiku_keys(lines: DataFrame, **settings) -> DataFrame:
@@ -86,7 +86,7 @@ def haiku_lines(lines: DataFrame, **settings) -> DataFrame:
     return count_lines(lines, max_syllables=7, **settings).withColumn("syllables", policy.haiku(F.col("syllables")))
 
 
-def fuzziness_sweep(lines: DataFrame, scorer: Scorer, steps: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), **settings) -> DataFrame:
+def fuzziness_sweep(lines: DataFrame, scorer: Scorer, steps: tuple[float, ...] = policy.STEPS, **settings) -> DataFrame:
     """lines crossed with strictness settings, with the count at each."""
     parts = [count_lines(lines, scorer=scorer, fuzziness=f, **settings).withColumn("fuzziness", F.lit(f)) for f in steps]
     out = parts[0]

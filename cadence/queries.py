@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---- SQL of the readings, written apart from the Column functions --------------------------------------------------
+# SQL of the readings, written apart from the Column functions
 _ONES = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen']"
 _TENS = "['','','twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety']"
 _MONTHS = "['january','february','march','april','may','june','july','august','september','october','november','december']"
@@ -56,7 +56,7 @@ def sql_cardinal(n: str) -> str:
 
 def sql_ordinal(words: str) -> str:
     out = words
-    pairs = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+    pairs = dict(zip("one two three five eight nine twelve".split(), "first second third fifth eighth ninth twelfth".split()))
     cases = " ".join(f"when {words} = '{a}' or {words} like '% {a}' then substr({words}, 1, length({words}) - {len(a)}) || '{b}'" for a, b in pairs.items())
     return f"case {cases} when {out} like '%y' then substr({words}, 1, length({words}) - 1) || 'tieth' else {words} || 'th' end"
 
@@ -69,7 +69,7 @@ def sql_year(n: str) -> str:
     )
 
 
-# ---- numbers -------------------------------------------------------------------------------------------------------
+# numbers
 @query(f"with t as (select o_orderkey, cast(o_orderkey as bigint) as n, cast(o_custkey as bigint) as c from orders) select o_orderkey, {sql_cardinal('n')} as key_words, 'negative ' || {sql_cardinal('c')} as negative_words from t where c > 0")
 def cardinal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_custkey > 0").select("o_orderkey", N.cardinal(F.col("o_orderkey")).alias("key_words"), N.cardinal(-F.col("o_custkey")).alias("negative_words"))
@@ -152,7 +152,7 @@ def roman_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", value.alias("value"), (value <= 10).alias("is_read"))
 
 
-# ---- normalisation -------------------------------------------------------------------------------------------------
+# normalisation
 def _collapse_sql(column: str, keep: int) -> str:
     for c in "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûüœ":
         column = f"regexp_replace({column}, '{c}{{3,}}', '{c * keep}', 'g')"
@@ -243,7 +243,7 @@ def emoji_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(runs, lambda r: r["text"]), "|").alias("runs"), names.alias("names"))
 
 
-# ---- lines ---------------------------------------------------------------------------------------------------------
+# lines
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, text) of all lines of all documents."""
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
@@ -350,7 +350,7 @@ def junk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", T.looks_junk(F.col("word")).alias("junk"))
 
 
-# ---- scores --------------------------------------------------------------------------------------------------------
+# scores
 _SOFTMAX = "e as (select vec_id, label, list_transform(range(1, 9), lambda i: exp(6 * cast(embedding[i] as double) + case when i = 1 + label % 8 then 2 else 0 end)) as e from embeddings), s as (select vec_id, label, list_transform(e, lambda x: x / list_sum(e)) as p from e)"
 
 
@@ -376,7 +376,7 @@ def gate_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RANKED + f", f(fuzziness) as (values (0.0::double), (0.25), (0.5), (0.75), (1.0)) select fuzziness, count({_gate_sql('fuzziness')}) as accepted, count(*) as n from r cross join f group by 1")
 def fuzziness_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = spark.createDataFrame([(f,) for f in (0.0, 0.25, 0.5, 0.75, 1.0)], "fuzziness double")
+    steps = spark.createDataFrame([(f,) for f in policy.STEPS], "fuzziness double")
     rows = softmax(spark, sf_dir).crossJoin(F.broadcast(steps))
     return rows.groupBy("fuzziness").agg(F.count(policy.gate(F.col("p"), F.col("fuzziness"))).alias("accepted"), F.count("*").alias("n"))
 
@@ -412,7 +412,7 @@ def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.select("label", F.posexplode("p").alias("k", "x")).select("label", (F.col("k") + 1).alias("k"), F.round("x", 9).alias("p"))
 
 
-# ---- lexicon -------------------------------------------------------------------------------------------------------
+# lexicon
 # sources made of a table: part names and types as words, their letters as phones
 _PARTS = "select p_partkey as line_no, lower(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) || chr(cast(97 + p_partkey % 7 as integer)) as w, p_partkey % 5 as k from part"
 
@@ -516,7 +516,7 @@ def npz_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("word", F.transform("p", lambda x: F.round(x, 6)).alias("p"))
 
 
-# ---- streaming -----------------------------------------------------------------------------------------------------
+# streaming
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as commits of posts."""
     k = F.col("event_id") % 7

@@ -120,7 +120,7 @@ def soft_labels(valid: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(MAX_COUNT)), lambda c: F.when(F.array_contains(some, c), F.lit(1.0) / F.size(some)).otherwise(F.lit(0.0)))
 
 
-SUFFIXES = ("iness", "ation", "ments", "ment", "ness", "iest", "ies", "ied", "ing", "edly", "ed", "es", "er", "est", "ly", "al", "ic", "s", "y")
+SUFFIXES = "iness ation ments ment ness iest ies ied ing edly ed es er est ly al ic s y".split()
 
 
 def stem(word: Column) -> Column:

@@ -77,7 +77,7 @@ SPELLED_LABELS = frozenset("ai cc edu eu fm fr gg io tv uk us xyz".split())
 
 MONTHS = "january february march april may june july august september october november december".split()
 CURRENCIES = {"$": "dollar dollars cent cents", "£": "pound pounds penny pence", "€": "euro euros cent cents", "¥": "yen yen"}
-MAGNITUDES = {"k": "thousand", "m": "million", "b": "billion", "t": "trillion"}
+MAGNITUDES = {word[0]: word for word in "million billion trillion".split()} | {"k": "thousand"}
 
 #: Counts of the words that the readings above can give, of the letters, and of common words: enough to run without a lexicon file.
 SEED_LEXICON = _counts("""

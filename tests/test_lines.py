@@ -15,7 +15,7 @@ TOTALS = {
 }
 TOTALS.pop("13/13/2026")
 TOTALS.pop("5/17/2026")
-LINES = [*TOTALS, "I have 5 cats and $19.99 to spend lol", "noooooo this is sooo bussin fr 😭🔥", "meeting 5/17/2026 at 10:45pm, ½ done", "mail a.b@x.io or bit.ly/abc now", "#3 and #3rd and 3-2 and 3/4 555-1234 10:45 a man", "The cat. A dog!", "x" * 5000, "@ebay.com end.no way", "13/13/2026 25:00 2/0"]
+LINES = [*TOTALS, "you have 7 dogs, or $19.99 more, lol", "sooooo bussin this time fr 🔥😭", "on 5/17/2026 by 10:45pm, ½ is done", "mail a.b@x.io or bit.ly/abc now", "#3 and #3rd and 3-2 and 3/4 555-1234 10:45 a man", "The cat. A dog!", "x" * 5000, "@ebay.com end.no way", "13/13/2026 25:00 2/0"]
 
 
 def frame(spark, texts):
@@ -76,7 +76,7 @@ def test_haiku_and_sweep(spark):
 
 
 def test_gate(spark):
-    rows = [([0.02, 0.9, 0.02, 0.02, 0.01, 0.01, 0.01, 0.01], 0.0, 2), ([0.30, 0.28] + [0.07] * 6, 0.0, None), ([0.30, 0.28] + [0.07] * 6, 1.0, 1), ([0.4, 0.4] + [0.0] * 6, 1.0, 2), ([0.4, 0.4] + [0.0] * 6, 5.0, 2), ([0.9] + [0.0] * 7, -1.0, 1)]
+    rows = [([0.03, 0.9, *[0.01] * 3, *[0.013] * 3], 0.0, 2), ([0.30, 0.28] + [0.07] * 6, 0.0, None), ([0.30, 0.28] + [0.07] * 6, 1.0, 1), ([0.4, 0.4] + [0.0] * 6, 1.0, 2), ([0.4, 0.4] + [0.0] * 6, 5.0, 2), ([0.9] + [0.0] * 7, -1.0, 1)]
     df = spark.createDataFrame(rows, "p array<double>, f double, want int")
     assert all(r["got"] == r["want"] for r in df.withColumn("got", policy.gate(F.col("p"), F.col("f"))).collect())
 
