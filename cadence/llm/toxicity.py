@@ -20,9 +20,9 @@ from cadence.llm.textkernel import Hasher, Words, distinct_per_row, mix, slices
 
 CATEGORIES = ("low_quality", "toxic", "severe")
 #: Most labelled documents that the models are fitted on: those whose hashed ids are lowest.
-SAMPLE = 8_000
+SAMPLE = 5_000
 PREFIXES = (4, 5, 6)
-FOLDS, MIN_POSITIVES, MOST_WORDS, LEAST_Z, RIDGE, THRESHOLD = 5, 5, 200, 4.5, 1.0, 0.5
+FOLDS, MIN_POSITIVES, MOST_WORDS, LEAST_Z, LEAST_DOCUMENTS, RIDGE, THRESHOLD = 5, 5, 200, 4.5, 3, 1.0, 0.5
 
 
 @dataclass
@@ -105,7 +105,7 @@ def fit_link(hashes: np.ndarray, rows: np.ndarray, dense: np.ndarray, y: np.ndar
     df, hit = np.bincount(at), np.bincount(at, y[rows])
     p = df / n
     z = (hit / pos - (df - hit) / (n - pos)) / np.sqrt(np.maximum(1e-12, p * (1 - p) * (1 / pos + 1 / (n - pos))))
-    z[df < 3] = 0
+    z[df < LEAST_DOCUMENTS] = 0
     best = np.flatnonzero(np.abs(z) >= LEAST_Z)
     best = np.sort(best[np.lexsort((vocabulary[best], -np.abs(z[best])))[:MOST_WORDS]])
     x = np.zeros((n, len(best)))
@@ -178,12 +178,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     ids = table["doc_id"].to_numpy()
     order = np.sort(np.unique(ids, return_index=True)[1]) if len(ids) else np.zeros(0, int)
     order = order[np.argsort(ids[order], kind="stable")]
-    blobs, dense = table["words"].to_pylist(), table["dense"].to_pylist()
-    each = [np.frombuffer(blobs[i], np.uint64) for i in order]
-    rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
     y = np.column_stack([table[c].to_numpy()[order] for c in CATEGORIES]) if len(order) else np.zeros((0, len(CATEGORIES)))
+    dense = np.array([np.frombuffer(table["dense"][i].as_py(), float) for i in order.tolist()])
+    each = [np.frombuffer(table["words"][i].as_py(), np.uint64) for i in order.tolist()]
+    del table
+    rows = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
+    hashes = np.concatenate([*each, np.zeros(0, np.uint64)]).astype(np.uint64)
+    del each
+    # no model takes a word of fewer than LEAST_DOCUMENTS, so the driver need not keep these, which are most
+    _, at, df = np.unique(hashes, return_inverse=True, return_counts=True)
+    often = df[at] >= LEAST_DOCUMENTS
+    hashes, rows = hashes[often], rows[often]
+    del at, often
     folds = (ids[order].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
-    return fit_chain(np.concatenate([*each, np.zeros(0, np.uint64)]).astype(np.uint64), rows, np.array([np.frombuffer(dense[i], float) for i in order]), y, folds)
+    return fit_chain(hashes, rows, dense, y, folds)
 
 
 class Scorer:
