@@ -12,13 +12,14 @@ from cadence.operators.scalar import trace_text
 from cadence.operators.scan import scan
 from cadence.tables import CONTRACTION
 
-#: Letters and spaces, and marks that end a word: nothing in such a line reads as a number, link, name, face, symbol or numeral.
-PLAIN = r"^[A-Za-z\s]*(?:[A-Za-z][.,!?\"]+(?:\s+|$)[A-Za-z\s]*)*$"
+#: What a plain line has none of: anything but letters, spaces and these marks, or a mark before a letter. In the rest nothing reads as a
+#: number, link, name, face, symbol or numeral, but for ODD. Searches, as a pattern of whole lines would backtrack on long ones.
+UNPLAIN = r"[^A-Za-z\s.,!?\"]|[.,!?\"][A-Za-z]"
 ODD = r"(?:^|[^A-Za-z])(?:[xX]D+|[xX]+D+|[IVXLCDM]{2,})(?:[^A-Za-z]|$)|[xX]D+(?:[^A-Za-z]|$)"
 
 
 def is_plain(text: Column) -> Column:
-    return text.rlike(PLAIN) & ~text.rlike(ODD)
+    return ~text.rlike(UNPLAIN) & ~text.rlike(ODD)
 
 
 def plain_tokens(text: Column) -> Column:
