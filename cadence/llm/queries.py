@@ -26,7 +26,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.repeated_lines(table(spark, sf_dir, "documents"))
+    return linededup.repeated_lines(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
