@@ -17,9 +17,12 @@ DEPTH, MIN_COUNT, MIN_SHARE, CHI2, PRIOR, MIN_LABELS, REJECT = 5, 10, 0.02, 3.84
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
-_LITERAL = f"""n = tn or (n >= {MIN_COUNT} and n >= {MIN_SHARE}e0 * tn and lab > 0 and tlab > lab and tbad > 0 and tbad < tlab and
+_TEST = """n = tn or (n >= {least} and lab > 0 and tlab > lab and tbad > 0 and tbad < tlab and
     pow(cast(bad as double) / lab - cast(tbad - bad as double) / (tlab - lab), 2)
-    > {CHI2}e0 * (cast(tbad as double) / tlab) * (1 - cast(tbad as double) / tlab) * (1e0 / lab + 1e0 / (tlab - lab)))"""
+    > {chi2}e0 * (cast(tbad as double) / tlab) * (1 - cast(tbad as double) / tlab) * (1e0 / lab + 1e0 / (tlab - lab)))"""
+_LITERAL = _TEST.format(least=MIN_COUNT, chi2=CHI2)
+#: What the SQL adds: it keeps to five levels and to branches of MIN_SHARE, which agrees where no host has rarer ones.
+_SQL_LITERAL = _TEST.format(least=f"{MIN_COUNT} and n >= {MIN_SHARE}e0 * tn", chi2=CHI2)
 _GLOBAL = "(coalesce(gbad, 0) + 1e0) / (coalesce(glab, 0) + 2e0)"
 _HOST_RATE = f"(hbad + {PRIOR}e0 * ({_GLOBAL})) / (hlab + {PRIOR}e0)"
 _PURITY = f"(bad + {PRIOR}e0 * ({_HOST_RATE})) / (lab + {PRIOR}e0)"
@@ -29,7 +32,7 @@ def url_templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(page_id, host, template, n_pages, n_labelled, bad_share, rejected): one row for each row of pages.
 
     A page is bad if its label, by page_id, says low quality or toxic; of several labels the worst holds, null labels don't
-    count. Query and fragment are ignored; segments beyond DEPTH count as one with the last. bad_share is the template's share of bad labels,
+    count. Query and fragment are ignored; the tree is as deep as the longest path. bad_share is the template's share of bad labels,
     drawn towards its host's by PRIOR labels, which in turn is drawn towards that of all. A template of MIN_LABELS labels or more and a bad_share of
     REJECT or more is rejected. A page without a url, or with one that has no scheme and host, has a null host and is not rejected. Repeated
     rows count each. Without labels nothing is rejected.
@@ -38,16 +41,17 @@ def url_templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", _HOST, 1))
     segments = F.filter(F.split(F.regexp_extract("url", _PATH, 1), "/"), lambda s: s != "")
     base = pages.select("page_id", F.when(host != "", host).alias("host"), segments.alias("p")).join(worst, "page_id", "left")
-    steps = [F.get("p", F.lit(d)).alias(f"s{d}") for d in range(DEPTH - 1)] + [F.when(F.size("p") >= DEPTH, F.array_join(F.slice("p", DEPTH, F.greatest(F.size("p"), F.lit(1))), "/")).alias(f"s{DEPTH - 1}")]
-    base = cut(base.select("page_id", "host", *steps, F.col("bad").isNotNull().cast("long").alias("lab"), F.coalesce("bad", F.lit(0)).alias("bad")))
+    base = cut(base.select("page_id", "host", "p", F.col("bad").isNotNull().cast("long").alias("lab"), F.coalesce("bad", F.lit(0)).alias("bad")))
+    depth = base.where("host is not null").agg(F.max(F.size("p"))).first()[0] or 0
     now = base.withColumn("t", F.lit(""))
     totals = [F.sum(c).alias(c) for c in ("n", "lab", "bad")]
-    for d in range(DEPTH):
-        values = cut(now.where(f"host is not null and s{d} is not null").groupBy("host", "t", f"s{d}").agg(F.count("*").alias("n"), *totals[1:]))
+    for d in range(depth):
+        now = (now if d % 4 else cut(now)).withColumn("s", F.get("p", F.lit(d)))
+        values = cut(now.where("host is not null and s is not null").groupBy("host", "t", "s").agg(F.count("*").alias("n"), *totals[1:]))
         parents = values.groupBy("host", "t").agg(*(F.sum(c).alias(f"t{c}") for c in ("n", "lab", "bad")))
-        literal = cut(values.join(parents, ["host", "t"]).where(_LITERAL).select("host", "t", f"s{d}", F.lit(True).alias("literal")))
-        now = now.join(literal, ["host", "t", f"s{d}"], "left")
-        now = now.withColumn("t", F.when(F.col(f"s{d}").isNull(), F.col("t")).otherwise(F.concat("t", F.lit("/"), F.when(F.col("literal"), F.col(f"s{d}")).otherwise(F.lit("*"))))).drop("literal")
+        literal = cut(values.join(parents, ["host", "t"]).where(_LITERAL).select("host", "t", "s", F.lit(True).alias("literal")))
+        now = now.join(literal, ["host", "t", "s"], "left")
+        now = now.withColumn("t", F.when(F.col("s").isNull(), F.col("t")).otherwise(F.concat("t", F.lit("/"), F.when(F.col("literal"), F.col("s")).otherwise(F.lit("*"))))).drop("literal")
     placed = now.select("page_id", "host", F.when(F.col("host").isNotNull(), F.when(F.col("t") == "", "/").otherwise(F.col("t"))).alias("template"), "lab", "bad")
     placed = cut(placed)
     kinds = placed.where("host is not null").groupBy("host", "template").agg(F.count("*").alias("n"), *totals[1:])
@@ -59,7 +63,7 @@ def url_templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, to DEPTH levels, the rest of a path as one segment, and with branches of MIN_SHARE or more."""
     steps = [f"p[{d + 1}] as s{d}" for d in range(DEPTH - 1)] + [f"case when len(p) >= {DEPTH} then array_to_string(p[{DEPTH}:], '/') end as s{DEPTH - 1}"]
     sql = f"""with worst as (select doc_id, max(case when coalesce(quality, 1) = 0 or coalesce(toxic, 0) = 1 then 1 else 0 end) as bad from labels
     where doc_id is not null and (quality is not null or toxic is not null) group by doc_id),
@@ -70,7 +74,7 @@ l0 as (select page_id, host, {', '.join(steps)}, case when bad is null then 0 el
 v{d} as (select host, t, s{d}, count(*) as n, sum(lab) as lab, sum(bad) as bad from l{d} where host is not null and s{d} is not null group by host, t, s{d}),
 w{d} as (select *, sum(n) over (partition by host, t) as tn, sum(lab) over (partition by host, t) as tlab, sum(bad) over (partition by host, t) as tbad from v{d}),
 l{d + 1} as (select a.* replace (case when a.s{d} is null then a.t else a.t || '/' || case when b.n is not null then a.s{d} else '*' end end as t)
-    from l{d} a left join (select * from w{d} where {_LITERAL}) b on a.host = b.host and a.t = b.t and a.s{d} = b.s{d})"""
+    from l{d} a left join (select * from w{d} where {_SQL_LITERAL}) b on a.host = b.host and a.t = b.t and a.s{d} = b.s{d})"""
     return sql + f""",
 placed as (select page_id, host, case when host is not null then case when t = '' then '/' else t end end as template, lab, bad from l{DEPTH}),
 kinds as (select host, template, count(*) as n, sum(lab) as lab, sum(bad) as bad from placed where host is not null group by host, template),

@@ -51,3 +51,12 @@ def test_empty_tables(spark):
     p, lab = tables(spark, pages, [])
     out = urltree.url_templates(p, lab).collect()
     assert len(out) == len(pages) and not any(r["rejected"] for r in out) and not any("spam" in r["template"] for r in out)
+
+
+def test_rare_sections_and_deep_paths(spark):
+    pages = [(i, f"http://hot.example/s{i % 100}/{i}") for i in range(2000)]  # 100 sections of 1 %
+    pages += [(3000 + i, f"http://deep.example/a/b/c/d/e/f/{'bad' if i % 2 else 'good'}/{i}") for i in range(60)]
+    labels = [(i, int(i % 100 != 7), 0) for i in range(2000)] + [(3000 + i, int(i % 2 == 0), 0) for i in range(60)]
+    got = {r["page_id"]: (r["template"], r["rejected"]) for r in urltree.url_templates(*tables(spark, pages, labels)).collect()}
+    assert got[7] == ("/s7/*", True) and got[8][1] is False
+    assert got[3001] == ("/a/b/c/d/e/f/bad/*", True) and got[3000] == ("/a/b/c/d/e/f/good/*", False)
