@@ -19,7 +19,7 @@ from cadence.llm.graph import verified_components
 from cadence.llm.session import cut, with_ids
 from cadence.llm.textkernel import Hasher, distinct_per_row, list_column, mix, ngrams, slices
 
-SHINGLE, GROUPS, GROUP_SIZE, THRESHOLD = 3, 8, 2, 0.5
+SHINGLE, GROUPS, GROUP_SIZE, THRESHOLD = 3, 11, 2, 0.5
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, groups: int = GROUPS, size: int = GROUP_SIZE, seed: int = 7) -> DataFrame:

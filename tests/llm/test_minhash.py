@@ -53,3 +53,15 @@ def test_empty_table(spark):
     docs = table(spark, [])
     assert minhash.near_duplicates(docs).count() == 0
     assert minhash.drop_near_duplicates(docs).count() == 0
+
+
+def test_recall_close_to_the_threshold(spark):
+    rows = []
+    for i in range(200):
+        text = prose(3000 + i, 120)
+        copy = [f"new{i}x{k}" if k % 9 == 4 and k < 9 * (12 + i % 2) else w for k, w in enumerate(text)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    want = brute(rows)
+    got = {r["doc_id"]: r["kept_id"] for r in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert len(want) > 150
+    assert sum(got.get(i) == k for i, k in want.items()) >= 0.9 * len(want), sum(got.get(i) == k for i, k in want.items()) / len(want)
