@@ -20,7 +20,7 @@ from cadence.llm.textkernel import Hasher, Words, distinct_per_row, mix, slices
 
 CATEGORIES = ("low_quality", "toxic", "severe")
 #: Most labelled documents that the models are fitted on: those whose hashed ids are lowest.
-SAMPLE = 5_000
+SAMPLE = 8_000
 PREFIXES = (4, 5, 6)
 FOLDS, MIN_POSITIVES, MOST_WORDS, LEAST_Z, LEAST_DOCUMENTS, RIDGE, THRESHOLD = 5, 5, 200, 4.5, 3, 1.0, 0.5
 
@@ -161,17 +161,18 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """The chain, fitted on at most sample labelled documents.
+    """The chain, fitted on at most sample labelled documents that docs has with a text.
 
     A label row with a null id, quality or toxic is left out; of several rows for one id the highest toxic and the lowest
     quality hold. Severe means toxic and of low quality. A repeated document counts once.
     """
     quality, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    present = docs.where("text is not null").select("doc_id")
     known = (
         labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id")
         .agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
         .select("doc_id", quality.cast("int").alias("low_quality"), toxic.cast("int").alias("toxic"), (quality & toxic).cast("int").alias("severe"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        .join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     texts = docs.select("doc_id", F.lower("text").alias("text")).where("text is not null").join(F.broadcast(known), "doc_id")
     table = texts.mapInArrow(_training_rows, "words binary, dense binary, doc_id long, low_quality int, toxic int, severe int").toArrow()

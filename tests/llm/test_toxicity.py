@@ -74,3 +74,9 @@ def test_empty_tables(spark):
     assert toxicity.score(empty, toxicity.train(empty, labels_of(spark, labels))).count() == 0
     out = toxicity.score(table(spark, rows), toxicity.train(table(spark, rows), labels_of(spark, []))).collect()
     assert all(r["p_toxic"] is None and not r["rejected"] for r in out)
+
+
+def test_labels_without_documents_do_not_fill_the_sample(spark):
+    rows, labels = corpus(60)
+    absent = [(10_000 + i, 1, 0) for i in range(3000)]
+    assert len(toxicity.train(table(spark, rows), labels_of(spark, labels + absent), sample=60).links) == 3
