@@ -24,16 +24,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _hundred(n: Column) -> Column:
-    """Words of 0 to 99, none for nought."""
-    tens = F.get(_list(["", "", *speak.TENS]), F.floor(n / 10).cast("int"))
-    ones = F.get(_list(["", *speak.UNITS[1:]]), F.when(n < 20, n).otherwise(n % 10).cast("int"))
-    return _say(tens, ones)
+_BELOW_THOUSAND = [" ".join(words) for words in speak.HUNDREDS]
 
 
-def _thousand(n: Column) -> Column:
-    """Words of 0 to 999, none for nought."""
-    return let(n, lambda n: _say(F.when(n >= 100, F.concat(F.get(_list(speak.UNITS), F.floor(n / 100).cast("int")), F.lit(" hundred"))), _hundred(n % 100)))
+def _hundred(n: Column) -> Column:
+    """Words of 0 to 99, none for nought: one look-up in a constant array."""
+    return F.get(_list(_BELOW_THOUSAND[:100]), n.cast("int"))
 
 
 def _say(*parts: Column) -> Column:
@@ -43,25 +39,29 @@ def _say(*parts: Column) -> Column:
 
 def cardinal_digits(digits: Column) -> Column:
     """Of a string of digits of any length; beyond quadrillions digit by digit."""
+    return F.when(digits.isNotNull(), let(F.regexp_replace(digits, "^0+(?=.)", ""), _cardinal))
 
-    def read(short: Column) -> Column:
-        padded = F.lpad(short, 18, "0")
 
-        def group(scale: Column, k: Column) -> Column:
-            said = _thousand(F.substring(padded, 3 * k + 1, F.lit(3)).cast("int"))
-            return let(said, lambda w: F.when(w != "", _say(w, scale)))
+def _cardinal(digits: Column) -> Column:
+    """The same without leading zeros: a look-up for each group of three digits that a number has."""
 
-        groups = F.array_join(F.transform(_list(list(speak.SCALES)), group), " ")
-        each = F.array_join(F.transform(F.split(short, "(?!^)(?=.)"), lambda d: F.get(_list(speak.UNITS), d.cast("int"))), " ")
-        return F.when(F.length(short) > 18, each).when(short == "0", "zero").otherwise(groups)
+    def groups(padded: Column) -> Column:
+        said = []
+        for k, scale in enumerate(speak.SCALES):
+            n = F.substring(padded, 3 * k + 1, 3).cast("int")
+            words = F.get(_list(_BELOW_THOUSAND), n)
+            said.append(F.when((F.length(digits) > 15 - 3 * k) & (n > 0), F.concat(words, F.lit(f" {scale}")) if scale else words))
+        return F.concat_ws(" ", *said)
 
-    return F.when(digits.isNotNull(), let(F.regexp_replace(digits, "^0+(?=.)", ""), read))
+    each = F.array_join(F.transform(F.split(digits, "(?!^)(?=.)"), lambda d: F.get(_list(speak.UNITS), d.cast("int"))), " ")
+    small = F.get(_list(["zero", *_BELOW_THOUSAND[1:]]), digits.try_cast("int"))
+    return F.when(F.length(digits) > 18, each).when(F.length(digits) <= 3, small).otherwise(let(F.lpad(digits, 18, "0"), groups))
 
 
 def cardinal(n: Column) -> Column:
     """Of a whole number. Null gives null."""
-    digits = n.cast("decimal(38,0)").cast("string")
-    return F.concat(F.when(n < 0, "negative ").otherwise(""), cardinal_digits(F.ltrim(digits, F.lit("-"))))
+    digits = F.ltrim(n.cast("decimal(38,0)").cast("string"), F.lit("-"))
+    return F.when(n.isNotNull(), F.concat(F.when(n < 0, "negative ").otherwise(""), let(digits, _cardinal)))
 
 
 def to_ordinal(words: Column) -> Column:
@@ -117,14 +117,18 @@ def expand(token: Column) -> Column:
         )
         return F.when((whole == "") & (fraction == ""), "").otherwise(out)
 
-    def parts(t: Column) -> Column:
-        part = lambda k: F.regexp_extract(t, _SHAPE, k)
-        whole = F.regexp_replace(part(3), ",", "")
+    def named(parts: Column) -> Column:
+        """Of the seven groups of the shape; null if there are others, as of what hasn't the shape."""
+        part = lambda k: F.get(parts, k - 1)
+        whole = F.replace(part(3), F.lit(","), F.lit(""))
         said = F.when(whole == "", "zero").otherwise(cardinal_digits(whole))
-        named = {"sign": part(1), "money": part(2), "raw": part(3), "fraction": part(4), "nth": part(5), "letter": F.lower(part(6)), "percent": part(7), "whole": whole, "said": said}
-        return F.struct(*(c.alias(k) for k, c in named.items()))
+        fields = {"sign": part(1), "money": part(2), "raw": part(3), "fraction": part(4), "nth": part(5), "letter": F.lower(part(6)), "percent": part(7), "whole": whole, "said": said}
+        return F.when(F.size(parts) == 7, F.struct(*(c.alias(k) for k, c in fields.items())))
 
-    return let(let(F.trim(token), parts), read)
+    # one match splits a token: its groups are written out with a separator that no token of the shape holds
+    token = F.translate(F.trim(token), "\x01", "?")
+    split = F.split(F.regexp_replace(token, _SHAPE, "\x01".join(f"${k}" for k in range(1, 8))), "\x01")
+    return F.when(token.isNotNull(), F.coalesce(let(let(split, named), read), F.lit("")))
 
 
 def _currency(sign: Column, k: int) -> Column:

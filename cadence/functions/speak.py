@@ -12,10 +12,10 @@ from cadence.tables import CURRENCIES, MAGNITUDES, MONTHS, SPELLED_LABELS
 Words = list[str]
 ENDINGS = frozenset("st nd rd th".split())
 DIGITS = "zero one two three four five six seven eight nine".split()
-UNITS = [*DIGITS, *"ten eleven twelve".split(), *(x + "teen" for x in "thir four fif six seven eigh nine".split())]
-TENS = [x + "ty" for x in "twen thir for fif six seven eigh nine".split()]
+UNITS = [*DIGITS, *"ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()]
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 SCALES = ("quadrillion", "trillion", "billion", "million", "thousand", "")
-IRREGULAR = dict(x.split(":") for x in "one:first two:second three:third five:fifth eight:eighth nine:ninth twelve:twelfth".split())
+IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
 
 
 def below_hundred(n: int) -> Words:
@@ -135,7 +135,7 @@ def fraction(top: int, bottom: int) -> Words:
     return [*cardinal(str(top)), part]
 
 
-_PIECE = re.compile(r"(?P<digits>\d+)|[A-Z]{1,}(?![a-z])|(?:[A-Z]|)[a-z]{1,}")
+_PIECE = re.compile(r"(?P<digits>\d+)|[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 def split_handle(name: str) -> Words:

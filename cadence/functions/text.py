@@ -87,7 +87,7 @@ def encode_ids(word: Column, width: int = 24) -> Column:
 
 def split_handle(name: Column) -> Column:
     """Words of a camel-cased or underscored name, as an array."""
-    pieces = F.regexp_extract_all(name, F.lit("(?:[A-Z]|)[a-z]{1,}|[A-Z]{1,}(?![a-z])|[0-9]+"), F.lit(0))
+    pieces = F.regexp_extract_all(name, F.lit("[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+"), F.lit(0))
     return F.flatten(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]"), F.split(numbers.expand(p), " ")).otherwise(F.array(F.lower(p)))))
 
 
@@ -130,5 +130,5 @@ def looks_junk(word: Column) -> Column:
 
 
 def letters_count(word: Column) -> Column:
-    """Syllables of a word spelled aloud: three for a w, one for any other letter."""
+    """Count of a word spelled aloud: three for a w, one for any other letter."""
     return (F.length(word) + 2 * (F.length(word) - F.length(F.replace(word, F.lit("w"), F.lit(""))))).cast("int")

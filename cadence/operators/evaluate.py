@@ -62,12 +62,25 @@ def spread(results: DataFrame, measures: list[str]) -> DataFrame:
     return results.agg(*(f(m).alias(f"{m}_{name}") for m in measures for name, f in (("mean", F.avg), ("std", F.stddev_pop))))
 
 
-def best_run(results: DataFrame, by: str = "best_val") -> DataFrame:
-    return results.orderBy(F.desc(by)).limit(1)
+def best_run(results: DataFrame, by: str = "best_val", size: str | None = None) -> DataFrame:
+    """The row of the greatest measure; among equals that of the fewest parameters, where size names their column."""
+    return results.orderBy(F.desc_nulls_last(by), *([F.asc_nulls_last(size)] if size else [])).limit(1)
 
 
 #: Presets of model capacity: embedding, widths, filters, recurrent size, head.
-CAPACITY = {"s44k": (24, (2, 3, 4), 32, 40, 64), "s22k": (16, (2, 3), 32, 28, 48), "s7k": (12, (2, 3), 16, 16, 32), "s4k": (8, (2, 3), 12, 12, 24), "s2k": (6, (2, 3), 8, 8, 16)}
+CAPACITY = {"medium": (32, (2, 3), 64, 96, 128), "s44k": (24, (2, 3), 32, 48, 64), "s22k": (16, (2, 3), 24, 32, 48), "s7k": (12, (2, 3), 16, 16, 32), "s4k": (10, (2, 3), 12, 12, 24), "s2k": (8, (2, 3), 8, 8, 16)}
+CAPACITY["small"] = CAPACITY["s44k"]
+#: Runs of a sweep: a capacity and a dropout each. The first is tried at two dropouts, the ladder's smaller steps at less and less.
+RUNS = {
+    "small_d10": ("small", 0.10), "small_d25": ("small", 0.25), "medium_d10": ("medium", 0.10), "medium_d25": ("medium", 0.25),
+    "s44k": ("s44k", 0.10), "s22k": ("s22k", 0.10), "s7k": ("s7k", 0.05), "s4k": ("s4k", 0.05), "s2k": ("s2k", 0.0),
+}
+
+
+def check_run(tune: bool, split: str) -> None:
+    """ValueError for a run that makes no sense: tuning picks the run of the best validation, and a split that trains on everything has none."""
+    if tune and split == "all":
+        raise ValueError("tuning needs validation words, which split 'all' does not leave; use 'random' or 'hard'")
 
 
 def early_stop(epochs: DataFrame, run: str, epoch: str, value: str, patience: int) -> DataFrame:

@@ -9,7 +9,7 @@ from cadence.functions import text as T
 
 TOP, MARGIN = 0.85, 0.35
 #: Strictness settings that are tried in turn.
-STEPS = tuple(k / 4 for k in range(5))
+STEPS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
 def classify(counted: DataFrame) -> DataFrame:
@@ -26,19 +26,19 @@ def classify(counted: DataFrame) -> DataFrame:
     return counted.withColumn("route", route).withColumn("oov_word", F.when(route == "oov", F.when(form == "", low).otherwise(form)))
 
 
-def route_lines(classified: DataFrame, keys: list[str], words: bool = True) -> DataFrame:
-    """(keys, det, oov_n, hard, oov): the sum of what is sure, how many words are to be asked for, whether the line is given up, and the words in order.
+def route_lines(classified: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, total, n_uncertain, det, oov_n, hard, oov), a row for each line; see scalar.line_sums().
 
-    Partial sums leave one row for a line before the shuffle; without a scorer the words need not travel.
+    Partial sums leave one row for a line before the shuffle. Where nobody asks for the words Spark drops their column, so they don't travel.
     """
     oov = F.col("route") == "oov"
     sums = [
+        F.sum("n").cast("int").alias("total"), F.count_if(F.col("source") == "abstain").cast("int").alias("n_uncertain"),
         F.sum(F.when(F.col("route") == "det", F.col("n")).otherwise(0)).cast("int").alias("det"), F.count_if(oov).cast("int").alias("oov_n"), F.max((F.col("route") == "hard").cast("int")).alias("hard"),
-        *([F.array_sort(F.collect_list(F.when(oov, F.struct("pos", "oov_word")))).alias("oov")] if words else []),
+        F.array_sort(F.collect_list(F.when(oov, F.struct("pos", "oov_word")))).alias("oov"),
     ]
     out = classified.groupBy(*keys).agg(*sums)
-    asked = F.transform("oov", lambda x: x["oov_word"]) if words else F.lit(None).cast("array<string>")
-    return out.select(*keys, "det", "oov_n", (F.col("hard") == 1).alias("hard"), asked.alias("oov"))
+    return out.select(*keys, "total", "n_uncertain", "det", "oov_n", (F.col("hard") == 1).alias("hard"), F.transform("oov", lambda x: x["oov_word"]).alias("oov"))
 
 
 def routing_label(oov_n: Column, hard: Column) -> Column:
@@ -68,17 +68,31 @@ def haiku(total: Column) -> Column:
     return F.when(total.isin(5, 7), total)
 
 
-def totals(routed: DataFrame, scores: DataFrame | None, keys: list[str], most: int | None, fuzziness: float) -> DataFrame:
-    """(keys, syllables): the sum of a line, or null.
+def _asked(routed: DataFrame, keys: list[str], most: int | None) -> tuple[DataFrame, DataFrame]:
+    """Lines that nothing is to be asked for, and those that wait for the scorer; lines given up, or over the budget at one for each word, are in neither."""
+    fits = ~F.col("hard") & (F.lit(True) if most is None else F.col("det") + F.col("oov_n") <= most)
+    return routed.where(fits & (F.col("oov_n") == 0)), routed.where(fits & (F.col("oov_n") > 0))
+
+
+def asked_words(routed: DataFrame, keys: list[str], most: int | None) -> DataFrame:
+    """(word): the distinct words that the scorer is to be asked for."""
+    return _asked(routed, keys, most)[1].select(F.explode("oov").alias("word")).distinct()
 
-    Lines that are given up, or whose words at one syllable each break the budget, never reach the scorer's answers; scores has
-    (word, p) of distinct words, and None stands for a scorer that isn't there.
+
+def totals(routed: DataFrame, scores: DataFrame | None, keys: list[str], most: int | None, fuzziness: float | tuple[float, ...]) -> DataFrame:
+    """(keys, syllable_count): the sum of a line, or null; with several settings of fuzziness (keys, fuzziness, syllable_count), from one scoring.
+
+    scores has (word, p) of the words that asked_words() has; None stands for a scorer that isn't there.
     """
-    fits = ~F.col("hard") & (F.lit(True) if most is None else F.col("det") + F.col("oov_n") <= most)
-    sure = routed.where(fits & (F.col("oov_n") == 0)).select(*keys, F.col("det").alias("syllables"))
-    if scores is None:
-        return sure
-    asked = routed.where(fits & (F.col("oov_n") > 0)).select(*keys, "det", F.explode("oov").alias("word"))
-    got = asked.join(scores.select("word", gate(F.col("p"), fuzziness).alias("said")), "word", "left")
-    sums = got.groupBy(*keys).agg((F.first("det") + F.sum("said")).cast("int").alias("syllables"), F.count_if(F.col("said").isNull()).alias("missed"))
-    return sure.unionByName(sums.where("missed = 0").select(*keys, within(F.col("syllables"), most).cast("int").alias("syllables")))
+    many = isinstance(fuzziness, tuple)
+    steps = fuzziness if many else (fuzziness,)
+    each = F.array(*map(F.lit, map(float, steps)))
+    sure, asked = _asked(routed, keys, most)
+    out = sure.select(*keys, F.explode(each).alias("fuzziness"), F.col("det").alias("syllable_count"))
+    if scores is not None:
+        said = scores.select("word", F.explode(F.array(*(F.struct(F.lit(float(f)).alias("fuzziness"), gate(F.col("p"), f).alias("said")) for f in steps))).alias("x")).select("word", "x.*")
+        words = asked.select(*keys, "det", F.posexplode("oov").alias("at", "word")).select(*keys, "det", "at", "word", F.explode(each).alias("fuzziness"))
+        got = words.join(said, ["word", "fuzziness"], "left")
+        sums = got.groupBy(*keys, "fuzziness").agg((F.first("det") + F.sum("said")).cast("int").alias("syllable_count"), F.count_if(F.col("said").isNull()).alias("missed"))
+        out = out.unionByName(sums.where("missed = 0").select(*keys, "fuzziness", within(F.col("syllable_count"), most).cast("int").alias("syllable_count")))
+    return out if many else out.drop("fuzziness")

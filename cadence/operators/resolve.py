@@ -8,10 +8,16 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import IntegerType
 
 from cadence.functions import text as T
+from cadence.operators.tokens import plain_note
 from cadence.tables import ACRONYM, AMBIGUOUS, INITIALISM, SEED_LEXICON, SLANG
 
-#: Most words of a lexicon that is broadcast to the tokens; a larger one is joined as Spark chooses.
-BROADCAST_WORDS = 2_000_000
+#: Most bytes of a lexicon that is broadcast to the tokens; a larger one is joined as Spark chooses.
+BROADCAST_BYTES = 64 << 20
+
+
+def is_small(lexicon: DataFrame) -> bool:
+    """Whether the lexicon, measured whole, may be broadcast: its letters and, for each word, what a hash table takes beside them."""
+    return (lexicon.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def seed_lexicon(spark: SparkSession) -> DataFrame:
@@ -86,37 +92,46 @@ def count_tokens(tokens: DataFrame, tiers: DataFrame, keys: list[str], broadcast
     return grouped.select(*keys, "pos", "raw", n.cast("int").alias("n"), source.alias("source"), confidence.alias("confidence"), note.alias("note"))
 
 
-#: Candidates that a token is looked up by in its own row; the few tokens with more, and readings, are exploded.
-DIRECT = 4
-
-
-def split_tokens(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Words of up to DIRECT candidates, and the others that are spoken; silent tokens are in neither."""
-    spoken = tokens.where("not silent")
-    direct = F.col("words").isNull() & (F.size("candidates") <= DIRECT)
-    return spoken.where(direct), spoken.where(~direct)
-
-
-def count_direct(tokens: DataFrame, tiers: DataFrame, keys: list[str], broadcast: bool = True) -> DataFrame:
-    """(keys, pos, raw, n, source, note) of words, as count_tokens() has them, by look-ups within the row.
+def count_plain(words: DataFrame, tiers: DataFrame, broadcast: bool = True) -> DataFrame:
+    """words, which has raw, a word or mark of a plain line, with n, source, confidence, note, route and oov_word.
 
-    Nothing is exploded or grouped, so nothing is shuffled; notes hold only what decides of a line.
+    A plain word has one form, or two if it is drawn out, so it is looked up in its own row: nothing is exploded, grouped or shuffled. A null
+    raw, of a line without words, counts nothing.
     """
-    rows = tokens.select(*keys, "pos", "raw", "candidates")
-    for k in range(DIRECT):
+    word, low = F.col("raw").rlike("^[A-Za-z]"), F.lower("raw")
+    drawn = low.rlike(r"(.)\1\1")
+    rows = words.withColumn("w0", F.when(word, F.when(drawn, F.regexp_replace(low, r"(.)\1{2,}", "$1")).otherwise(low)))
+    rows = rows.withColumn("w1", F.when(word & drawn, F.regexp_replace(low, r"(.)\1{2,}", "$1$1")))
+    for k in range(2):
         known = tiers.select(F.col("word").alias(f"w{k}"), F.col("n").alias(f"n{k}"), F.col("source").alias(f"s{k}"))
-        rows = rows.withColumn(f"w{k}", F.get("candidates", k)).join(F.broadcast(known) if broadcast else known, f"w{k}", "left")
-    n, source, letters = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("int")
-    for k in reversed(range(DIRECT)):
-        hit = F.col(f"s{k}").isNotNull()
-        n, source = F.when(hit, F.col(f"n{k}")).otherwise(n), F.when(hit, F.col(f"s{k}")).otherwise(source)
-        letters = F.when(spelled(F.col(f"w{k}")), T.letters_count(F.col(f"w{k}"))).otherwise(letters)
-    bare = F.regexp_replace("raw", "^['’-]+|['’-]+$", "")
-    letters = F.when((F.size("candidates") > 0) & bare.rlike(r"^\p{Lu}{2,6}$"), T.letters_count(F.lower(bare))).otherwise(letters)
-    rows = rows.select(*keys, "pos", "raw", "candidates", n.alias("hit_n"), source.alias("hit"), letters.alias("letters"))
-    note = F.when(F.col("hit") == "abstain", "ambiguous initialism").when(F.size("candidates") == 0, "roman numeral (ambiguous); OOV").when(F.col("hit").isNull() & F.col("letters").isNull(), "OOV").otherwise("")
-    count = F.when(F.col("hit").isNotNull(), F.coalesce("hit_n", F.lit(0))).otherwise(F.coalesce("letters", F.lit(0)))
-    return rows.select(*keys, "pos", "raw", count.cast("int").alias("n"), F.coalesce("hit", F.when(F.col("letters").isNotNull(), "letters"), F.lit("abstain")).alias("source"), note.alias("note"))
+        rows = rows.join(F.broadcast(known) if broadcast else known, f"w{k}", "left")
+    hit = F.coalesce("s0", "s1")
+    n = F.when(F.col("s0").isNotNull(), F.col("n0")).otherwise(F.col("n1"))
+    form = F.when(F.col("raw").rlike("^[A-Z]{2,6}$"), low).when(spelled(F.col("w0")), F.col("w0")).when(spelled(F.col("w1")), F.col("w1"))
+    rows = rows.withColumns({"hit": hit, "hit_n": n, "form": F.when(hit.isNull(), form)})
+    hit, form = F.col("hit"), F.col("form")
+    lost = word & hit.isNull() & form.isNull()
+    route = F.when(hit == "abstain", "hard").when(lost, F.when(T.looks_junk(F.col("raw")), "hard").otherwise("oov")).otherwise("det")
+    rows = rows.withColumns(
+        {
+            "n": F.when(hit.isNotNull(), F.coalesce("hit_n", F.lit(0))).when(form.isNotNull(), T.letters_count(form)).otherwise(0).cast("int"),
+            "source": F.when(~word, "punct").when(hit.isNotNull(), hit).when(form.isNotNull(), "letters").otherwise("abstain"),
+            "route": route,
+        }
+    )
+    own = F.when(hit == "abstain", "ambiguous initialism").when(form.isNotNull(), F.array_join(F.split(form, "(?!^)(?=.)"), "-")).when(lost, "OOV")
+    return rows.select(
+        *words.columns, "n", F.when(F.col("raw").isNotNull(), F.col("source")).alias("source"), F.when(F.col("source") == "abstain", "none").otherwise("exact").alias("confidence"),
+        F.concat_ws("; ", F.when(plain_note(F.col("raw")) != "", plain_note(F.col("raw"))), own).alias("note"), "route", F.when(F.col("route") == "oov", F.col("w0")).alias("oov_word"),
+    )
+
+
+def count_plain_kinds(words: DataFrame, tiers: DataFrame) -> DataFrame:
+    """The same with tiers too large to broadcast: each distinct word is looked up once, and one join brings the answers back."""
+    kinds = count_plain(words.where("raw is not null").select("raw").distinct(), tiers, False)
+    found = words.where("raw is not null").join(kinds, "raw")
+    empty = words.where("raw is null").select("*", *(F.lit({"n": 0, "confidence": "exact", "note": "", "route": "det"}.get(f.name)).cast(f.dataType).alias(f.name) for f in kinds.schema if f.name != "raw"))
+    return found.unionByName(empty)
 
 
 def analyze(counted: DataFrame, keys: list[str]) -> DataFrame:

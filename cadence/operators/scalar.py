@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadence.operators.scan import is_full_url, scan
+from cadence.operators.scan import collapse, is_full_url, looks_junk, scan, strip_marks
 from cadence.tables import ACRONYM, AMBIGUOUS, INITIALISM, SLANG
 
 Traced = tuple[str, int, str, str, str]
@@ -67,3 +67,23 @@ def count_text(text: str, lexicon: dict[str, int], most: int | None = None) -> i
     return total if most is None or total <= most else None
 
 
+def line_sums(text: str, lexicon: dict[str, int]) -> tuple[int, int, int, int, bool, list[str]]:
+    """(total, n_uncertain, det, oov_n, hard, oov): a text's whole count, how many tokens are unsure, the sum of what is sure, and what
+    becomes of the rest: words that a scorer may be asked for, in order, and whether the text is given up. What policy.classify() does of token rows.
+    """
+    total = unsure = det = 0
+    hard, oov = False, []
+    for raw, n, source, _, note in trace_text(text, lexicon):
+        total += n
+        lost = source == "abstain"
+        unsure += lost
+        if "spoken url" in note and (lost or is_full_url(raw)):
+            hard = True
+        elif not lost:
+            det += n
+        elif note.split(";")[-1].strip() == "OOV" and not any(x in note for x in ("[OOV:", "initialism", "roman")) and any(map(str.isalpha, raw)) and not looks_junk(raw):
+            low = raw.lower()
+            oov.append(strip_marks(collapse(low)[0]) or low)
+        else:
+            hard = True
+    return total, unsure, det, len(oov), hard, oov

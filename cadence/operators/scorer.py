@@ -1,4 +1,4 @@
-"""Scorers of unknown words: distinct words in, eight class probabilities out, class k for k syllables."""
+"""Scorers of unknown words: distinct words in, eight class probabilities out, class k for the count k."""
 
 from __future__ import annotations
 

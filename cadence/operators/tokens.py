@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cadence import schemas
 from cadence.functions import text as T
-from cadence.operators.scalar import trace_text
 from cadence.operators.scan import scan
 from cadence.tables import CONTRACTION
 
@@ -23,22 +26,21 @@ def is_plain(text: Column) -> Column:
 
 
 def plain_tokens(text: Column) -> Column:
-    """The token array of a plain line."""
-    raw = F.regexp_extract_all(text, F.lit(r"[A-Za-z]+|[.,!?\"]"), F.lit(0))
-    bare = F.array(*(F.lit(x) for x in CONTRACTION))
+    """The raw words and marks of a plain line."""
+    return F.regexp_extract_all(text, F.lit(r"[A-Za-z]+|[.,!?\"]"), F.lit(0))
+
+
+def plain_words(text: Column) -> Column:
+    """The words of a plain line alone: its marks are silent."""
+    return F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
 
-    def token(x: Column) -> Column:
-        word, low = x.rlike("[A-Za-z]"), F.lower(x)
-        forms = T.collapse_elongation(low)
-        short = F.array_contains(bare, low)
-        # as every lexicon keys contractions by letters alone, the form with an apostrophe is left to the scanner
-        note = F.when(F.element_at(forms, 1) != low, "elongation").when(word & short, "contraction").otherwise("")
-        return F.struct(
-            x.alias("raw"), F.when(word, "word").otherwise("punct").alias("kind"), F.when(word, forms).alias("candidates"), F.lit(None).cast("array<string>").alias("words"),
-            (~word).alias("silent"), F.lit(False).alias("approx"), note.alias("note"),
-        )
 
-    return F.transform(raw, token)
+def exploded(lines: DataFrame, raws: Column, text: str = "text") -> DataFrame:
+    """(the other columns, pos, raw): a row for each element; a line without any has one row of nulls.
+
+    Outer, as of an inner explode Spark infers a filter on the array's size, for which the array would be made once more.
+    """
+    return lines.select(*(c for c in lines.columns if c != text), F.posexplode_outer(raws).alias("pos", "raw"))
 
 
 def scanned_tokens(text: Column, numerals: frozenset[str]) -> Column:
@@ -57,15 +59,29 @@ def numerals_of(lexicon: DataFrame) -> frozenset[str]:
     return frozenset(r["word"] for r in rows)
 
 
-def counted_tokens(text: Column, lexicon) -> Column:
-    """Tokens of any line with their counts, as the plan's joins would give them; lexicon is a broadcast dictionary."""
+def in_batches(lines: DataFrame, spec: str, row: Callable[[str], Iterable[tuple]], text: str = "text") -> DataFrame:
+    """(line_key, the columns of spec): the rows that row() makes of each text, in the Arrow batches that bring the texts, once."""
+    names = [f.name for f in _parsed(spec)]
+    kind = lines.schema["line_key"].dataType
+    schema = schemas.T.StructType([schemas.T.StructField("line_key", kind), *_parsed(spec)])
+    types = [to_arrow_type(f.dataType) for f in _parsed(spec)]
 
-    @F.pandas_udf(schemas.T.ArrayType(schemas.COUNTED))
-    def run(texts: pd.Series) -> pd.Series:
-        known = lexicon.value
-        return texts.map(lambda t: None if t is None else [dict(zip(schemas.COUNTED.names, x)) for x in trace_text(t, known)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            rows: list[tuple] = []
+            for k, t in enumerate(batch.column(text).to_pylist()):
+                made = list(row(t)) if t is not None else []
+                rows += made
+                at += [k] * len(made)
+            columns = zip(*rows) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column("line_key").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types))], names=["line_key", *names])
 
-    return run(text)
+    return lines.select("line_key", text).mapInArrow(run, schema)
+
+
+def _parsed(spec: str) -> list:
+    return list(schemas.T.StructType.fromDDL(spec))
 
 
 def branches(lines: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -80,10 +96,20 @@ def branches(lines: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame
 def tokenize(lines: DataFrame, numerals: frozenset[str], text: str = "text") -> DataFrame:
     """lines with tokens, an array. A null text has null tokens, an empty one none."""
     plain, odd = branches(lines, text)
-    return plain.withColumn("tokens", plain_tokens(F.col(text))).unionByName(odd.withColumn("tokens", scanned_tokens(F.col(text), numerals)))
+    token = lambda x: F.struct(
+        x.alias("raw"), F.when(x.rlike("[A-Za-z]"), "word").otherwise("punct").alias("kind"), F.when(x.rlike("[A-Za-z]"), T.collapse_elongation(F.lower(x))).alias("candidates"),
+        F.lit(None).cast("array<string>").alias("words"), (~x.rlike("[A-Za-z]")).alias("silent"), F.lit(False).alias("approx"), plain_note(x).alias("note"),
+    )
+    return plain.withColumn("tokens", F.transform(plain_tokens(F.col(text)), token)).unionByName(odd.withColumn("tokens", scanned_tokens(F.col(text), numerals)))
+
+
+def plain_note(raw: Column) -> Column:
+    """What was done to a plain word. As every lexicon keys contractions by letters alone, the form with an apostrophe is left to the scanner."""
+    low = F.lower(raw)
+    return F.when(low.rlike(r"(.)\1\1"), "elongation").when(low.isin(*sorted(CONTRACTION)), "contraction").otherwise("")
 
 
 def explode_tokens(lines: DataFrame) -> DataFrame:
     """A row for each token, with its place pos from 0."""
     kept = [c for c in lines.columns if c != "tokens"]
-    return lines.select(*kept, F.posexplode("tokens").alias("pos", "token")).select(*kept, "pos", "token.*")
+    return lines.select(*kept, F.posexplode_outer("tokens").alias("pos", "token")).where("pos is not null").select(*kept, "pos", "token.*")

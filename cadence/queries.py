@@ -30,8 +30,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: What Spark puts into one split of a file, so that a table below this for each core leaves cores idle.
+SPLIT_BYTES = 128 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table. With spread, for work that costs far more than reading, one too small to give each core a split is dealt to all cores; a larger one is not shuffled."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    small = spread and rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < cores * SPLIT_BYTES
+    return rows.repartition(cores) if small else rows
 
 
 # SQL of the readings, written apart from the Column functions
@@ -70,19 +78,19 @@ def sql_year(n: str) -> str:
 
 
 # numbers
-@query(f"with t as (select o_orderkey, cast(o_orderkey as bigint) as n, cast(o_custkey as bigint) as c from orders) select o_orderkey, {sql_cardinal('n')} as key_words, 'negative ' || {sql_cardinal('c')} as negative_words from t where c > 0")
+@query(f"with t as (select o_orderkey, cast(o_orderkey as bigint) as n, cast(o_custkey as bigint) as c from orders) select o_orderkey, {sql_cardinal('n')} as key_words, case when c > 0 then 'negative ' else '' end || {sql_cardinal('c')} as negative_words from t")
 def cardinal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_custkey > 0").select("o_orderkey", N.cardinal(F.col("o_orderkey")).alias("key_words"), N.cardinal(-F.col("o_custkey")).alias("negative_words"))
+    return table(spark, sf_dir, "orders", spread=True).select("o_orderkey", N.cardinal(F.col("o_orderkey")).alias("key_words"), N.cardinal(-F.col("o_custkey")).alias("negative_words"))
 
 
 @query(f"with t as (select o_orderkey, day(o_orderdate) as d, o_orderkey as n from orders), w as (select *, {sql_cardinal('d')} as dw, {sql_cardinal('n')} as nw from t) select o_orderkey, {sql_ordinal('dw')} as day_words, {sql_ordinal('nw')} as key_words from w")
 def ordinal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", N.ordinal(F.dayofmonth("o_orderdate")).alias("day_words"), N.ordinal(F.col("o_orderkey")).alias("key_words"))
+    return table(spark, sf_dir, "orders", spread=True).select("o_orderkey", N.ordinal(F.dayofmonth("o_orderdate")).alias("day_words"), N.ordinal(F.col("o_orderkey")).alias("key_words"))
 
 
 @query(f"with t as (select o_orderkey, cast(year(o_orderdate) as bigint) as y, cast(1000 + o_orderkey % 1200 as bigint) as z from orders) select o_orderkey, {sql_year('y')} as year_words, {sql_year('z')} as other_words from t")
 def year_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", N.year(F.year("o_orderdate")).alias("year_words"), N.year(1000 + F.col("o_orderkey") % 1200).alias("other_words"))
+    return table(spark, sf_dir, "orders", spread=True).select("o_orderkey", N.year(F.year("o_orderdate")).alias("year_words"), N.year(1000 + F.col("o_orderkey") % 1200).alias("other_words"))
 
 
 _MONEY = f"""select {{keys}}, case when neg then 'negative ' else '' end || {sql_cardinal('d')} || case when d = 1 then ' dollar' else ' dollars' end
@@ -93,7 +101,7 @@ _MONEY = f"""select {{keys}}, case when neg then 'negative ' else '' end || {sql
 def money_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     token = F.concat(F.lit("$"), (cents / 100).cast("long").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.expand(token).alias("words"))
+    return table(spark, sf_dir, "lineitem", spread=True).select("l_orderkey", "l_linenumber", N.expand(token).alias("words"))
 
 
 @query("with t as (select c_custkey, c_acctbal < 0 as neg, cast(round(abs(c_acctbal) * 100) as bigint) // 100 as d, cast(round(abs(c_acctbal) * 100) as bigint) % 100 as c from customer) " + _MONEY.format(keys="c_custkey"))
@@ -107,7 +115,7 @@ def balance_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def percent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.round(F.col("l_discount") * 1000).cast("long")
     token = F.concat((n / 10).cast("long").cast("string"), F.lit("."), (n % 10).cast("string"), F.lit("%"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.expand(token).alias("words"))
+    return table(spark, sf_dir, "lineitem", spread=True).select("l_orderkey", "l_linenumber", N.expand(token).alias("words"))
 
 
 @query(
@@ -123,12 +131,12 @@ def suffix_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with t as (select o_orderkey, cast(month(o_orderdate) as bigint) as m, cast(day(o_orderdate) as bigint) as d, cast(year(o_orderdate) as bigint) as y from orders), w as (select *, {sql_cardinal('d')} as dw from t) select o_orderkey, {_MONTHS}[m] || ' ' || {sql_ordinal('dw')} || ' ' || {sql_year('y')} as words from w")
 def date_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("o_orderdate")
-    return table(spark, sf_dir, "orders").select("o_orderkey", N.date(F.month(d), F.dayofmonth(d), F.year(d)).alias("words"))
+    return table(spark, sf_dir, "orders", spread=True).select("o_orderkey", N.date(F.month(d), F.dayofmonth(d), F.year(d)).alias("words"))
 
 
 @query(f"with t as (select event_id, cast(hour(ts) as bigint) as h, cast(minute(ts) as bigint) as m from events) select event_id, {sql_cardinal('h')} || ' ' || case when m = 0 then 'o clock' when m < 10 then 'oh ' || {sql_two('m')} else {sql_two('m')} end || case when event_id % 2 = 0 then ' a m' else '' end as words from t")
 def time_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", N.clock(F.hour("ts"), F.minute("ts"), F.when(F.col("event_id") % 2 == 0, "A").otherwise("")).alias("words"))
+    return table(spark, sf_dir, "events", spread=True).select("event_id", N.clock(F.hour("ts"), F.minute("ts"), F.when(F.col("event_id") % 2 == 0, "A").otherwise("")).alias("words"))
 
 
 @query(
@@ -138,7 +146,7 @@ def time_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ratio_fraction_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("l_linenumber"), F.col("l_quantity").cast("long")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.ratio(a, b).alias("ratio_words"), N.fraction(a, b).alias("fraction_words"))
+    return table(spark, sf_dir, "lineitem", spread=True).select("l_orderkey", "l_linenumber", N.ratio(a, b).alias("ratio_words"), N.fraction(a, b).alias("fraction_words"))
 
 
 _ROMAN_TENS, _ROMAN_ONES = ["", "X", "XX", "XXX", "XL", "L"], ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]
@@ -167,7 +175,7 @@ def elongation_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, strip_accents(text) as folded from documents")
 def diacritic_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.strip_marks(F.col("text")).alias("folded"))
+    return table(spark, sf_dir, "documents", spread=True).select("doc_id", T.strip_marks(F.col("text")).alias("folded"))
 
 
 @query("select conv_id, turn, text as folded from conversations")
@@ -180,7 +188,7 @@ def unicode_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with w as (select unnest(string_split_regex(text, '[[:space:]]+')) as w from documents) select regexp_replace(lower(w), '[^a-z]', '', 'g') as az, count(*) as n from w group by 1")
 def az_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("w"))
+    words = table(spark, sf_dir, "documents", spread=True).select(F.explode(F.split("text", r"\s+")).alias("w"))
     return words.groupBy(T.az_key(F.col("w")).alias("az")).agg(F.count("*").alias("n"))
 
 
@@ -220,7 +228,7 @@ _SPELL = " ".join(f"when '{x}' then '{' '.join(x)}'" for x in sorted({"www"} | S
     select page_id, array_to_string(list_transform(labels, lambda x: case x {_SPELL} else replace(x, '-', ' ') end), ' dot ') as words from h"""
 )
 def url_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(T.read_host(F.lower("url")), " ").alias("words"))
+    return table(spark, sf_dir, "pages", spread=True).select("page_id", F.array_join(T.read_host(F.lower("url")), " ").alias("words"))
 
 
 @query(f"select s_suppkey, 'supplier dot ' || {sql_cardinal('n')} || ' at mail dot example dot c o' as words from (select s_suppkey, cast(s_suppkey % 1000 as bigint) as n from supplier)".replace("dot c o", "dot co"))
@@ -246,12 +254,12 @@ def emoji_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # lines
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, text) of all lines of all documents."""
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return table(spark, sf_dir, "documents", spread=True).where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations, each with a key of its own."""
-    return table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("line_id"), "text")
+    return table(spark, sf_dir, "conversations", spread=True).select(F.concat_ws("-", "conv_id", "turn").alias("line_id"), "text")
 
 
 def _values(pairs) -> str:
@@ -291,7 +299,7 @@ _HARD = "(length(raw) >= 16 or (length(raw) >= 7 and not regexp_matches(lower(ra
 _ROUTED = f", routed as (select l.line_id, l.text, coalesce(sum(n), 0) as det, count(*) filter (oov) as asked_n, coalesce(bool_or(k.source = 'abstain' and (not oov or {_HARD})), false) as hard, sum(case when oov then 1 + length(asked) % 3 else 0 end) as said from lines l left join k on k.line_id = l.line_id group by 1, 2)"
 
 
-@query(_WORDS_SQL + _ROUTED + " select line_id, text, cast(case when not hard and asked_n = 0 then det end as integer) as syllables from routed")
+@query(_WORDS_SQL + _ROUTED + " select line_id, text, cast(case when not hard and asked_n = 0 then det end as integer) as syllable_count from routed")
 def count_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.count_lines(turns(spark, sf_dir))
 
@@ -302,22 +310,22 @@ def asked_scorer(words: DataFrame) -> DataFrame:
     return words.select("word", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda c: F.when(c == k, F.lit(0.993)).otherwise(F.lit(0.001))).alias("p"))
 
 
-@query(_WORDS_SQL + _ROUTED + " select line_id, text, cast(case when not hard then det + said end as integer) as syllables from routed")
+@query(_WORDS_SQL + _ROUTED + " select line_id, text, cast(case when not hard then det + said end as integer) as syllable_count from routed")
 def oov_table_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.count_lines(turns(spark, sf_dir), scorer=asked_scorer)
 
 
-@query(_WORDS_SQL + _ROUTED + ", b(most) as (values (20), (60), (120)) select line_id, most, cast(case when not hard and det + asked_n <= most and det + said <= most then det + said end as integer) as syllables from routed cross join b")
+@query(_WORDS_SQL + _ROUTED + ", b(most) as (values (20), (60), (120)) select line_id, most, cast(case when not hard and det + asked_n <= most and det + said <= most then det + said end as integer) as syllable_count from routed cross join b")
 def budget_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [api.count_lines(turns(spark, sf_dir), scorer=asked_scorer, max_syllables=m).select("line_id", F.lit(m).alias("most"), "syllables") for m in (20, 60, 120)]
+    parts = [api.count_lines(turns(spark, sf_dir), scorer=asked_scorer, most=m).select("line_id", F.lit(m).alias("most"), "syllable_count") for m in (20, 60, 120)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query()
 def haiku_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: which lines of all documents are surely of 5 or 7 syllables."""
+    """The flagship: which lines of all documents surely count 5 or 7."""
     lines = document_lines(spark, sf_dir).select(F.struct("doc_id", "line_no").alias("line_id"), "text")
-    return api.haiku_keys(lines).select("line_id.doc_id", "line_id.line_no", "syllables")
+    return api.haiku_keys(lines).select("line_id.doc_id", "line_id.line_no", "syllable_count")
 
 
 @query()
@@ -334,9 +342,7 @@ def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with w as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as w from conversations) select w as word, length(w) between 2 and 6 and not regexp_matches(w, '[aeiouy]') as spelled, cast(length(w) + 2 * (length(w) - length(replace(w, 'w', ''))) as integer) as letters from w")
 def letter_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.lower(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))))
-    words = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct()
-    del w
+    words = table(spark, sf_dir, "conversations", spread=True).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct()
     return words.select("word", resolve.spelled(F.col("word")).alias("spelled"), T.letters_count(F.col("word")).alias("letters"))
 
 
@@ -346,7 +352,7 @@ def letter_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     select w as word, length(w) >= 16 or flips >= 4 or (length(w) >= 7 and not regexp_matches(lower(w), '[aeiou]')) as junk from f"""
 )
 def junk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).distinct()
+    words = table(spark, sf_dir, "documents", spread=True).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).distinct()
     return words.select("word", T.looks_junk(F.col("word")).alias("junk"))
 
 
@@ -492,7 +498,7 @@ def _stem_sql(w: str) -> str:
 
 @query(f"with w as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as w from documents) select {_stem_sql('w')} as stem, count(*) as words from w group by 1")
 def stem_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
+    words = table(spark, sf_dir, "documents", spread=True).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
     return words.groupBy(lexicon.stem(F.col("w")).alias("stem")).agg(F.count("*").alias("words"))
 
 
@@ -504,7 +510,7 @@ def split_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def spellfix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of conversations held against the reconciled lexicon and the seed."""
-    words = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
+    words = table(spark, sf_dir, "conversations", spread=True).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
     return resolve.correct(words, resolve.seed_lexicon(spark))
 
 
@@ -523,11 +529,11 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     langs = F.when(k == 0, F.array(F.lit("fr"))).when(k == 1, F.array(F.lit("fr"), F.lit("en-GB"))).otherwise(F.array(F.lit("en")))
     text = F.when(k == 2, "  ").when(F.col("event_id") % 2 == 0, " five cats in the house ").otherwise("nine dogs go to the town and the top")
     record = F.struct(F.when(k == 3, "like").otherwise(posts.POST_TYPE).alias("type"), text.alias("text"), langs.alias("langs"), F.when(k == 4, "x").alias("reply"))
-    return table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "click", "delete").otherwise("create").alias("action"), F.concat(F.lit(posts.POST_TYPE), F.lit("/"), "event_id").alias("path"), record.alias("record"))
+    return table(spark, sf_dir, "events", spread=True).select(F.when(F.col("event_type") == "click", "delete").otherwise("create").alias("action"), F.concat(F.lit(posts.POST_TYPE), F.lit("/"), "event_id").alias("path"), record.alias("record"))
 
 
 @query("select count(*) as seen, count(*) filter (event_id % 2 = 0) as haiku_hits from events where event_type <> 'click' and event_id % 7 in (1, 5, 6)")
 def post_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filters and counters of the stream over a whole table."""
     kept = posts.english_posts(posts.created(commits(spark, sf_dir)))
-    return posts.counters(kept.withColumn("syllables", posts.syllables(F.col("text"), SEED_LEXICON, 7)))
+    return posts.counters(kept.withColumn("syllable_count", posts.sure_count(F.col("text"), SEED_LEXICON, 7)))

@@ -60,7 +60,7 @@ def parse_kaikki(lines: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.max_by(F.struct("ipa", "hyph"), "line_no").alias("last")).select("word", "last.*")
 
 
-def ipa_syllables(ipa: Column) -> Column:
+def ipa_groups(ipa: Column) -> Column:
     """Groups between dots, of 1 to 12; null without a dot."""
     bare = F.translate(ipa, _MARKS, "")
     n = F.size(F.filter(F.split(bare, r"\."), lambda g: g != ""))
@@ -81,7 +81,7 @@ def extract_kaikki(entries: DataFrame) -> DataFrame:
     from_parts = F.transform("hyphenations", lambda h: F.size(F.filter(h["parts"], lambda p: p != "")))
     plain = F.transform("hyphenation", lambda h: F.size(F.filter(F.array(h), lambda p: p != "")))
     hyph = F.when(F.size("hyphenations") > 0, from_parts).otherwise(plain)
-    rows = entries.where("lang_code = 'en'").select(word.alias("word"), F.transform("sounds", lambda s: ipa_syllables(s["ipa"])).alias("ipa"), hyph.alias("hyph")).where("word <> ''")
+    rows = entries.where("lang_code = 'en'").select(word.alias("word"), F.transform("sounds", lambda s: ipa_groups(s["ipa"])).alias("ipa"), hyph.alias("hyph")).where("word <> ''")
     clean = lambda c: F.filter(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<int>"))))), lambda n: n.between(1, 12))
     out = rows.groupBy("word").agg(F.array_sort(clean(F.col("ipa"))).alias("ipa"), F.array_sort(clean(F.col("hyph"))).alias("hyph"))
     return out.where("size(ipa) > 0 or size(hyph) > 0")

@@ -11,10 +11,8 @@ from cadence.tables import SEED_LEXICON as LEXICON
 TOTALS = {
     "the quick brown fox": 4, "5 cats": 2, "$19.99": 9, "3.14%": 6, "bussin": 2, "idk": 3, "in 1999": 6, "xkcd": 4, "well-known": 2, "@bob_smith": 3, "#ThrowbackThursday": 4, "w/o": 2, "b/c": 2, "IBM": 3, "NDA": 3, "STOP": 1, "NASA": 2,
     "e.g.": 2, "café": 2, "½": 2, "MIX": 1, "World War II": 3, "Henry VIII": 3, "Star Wars IV": 3, "Final Fantasy VII": 7, "lol": None, "zyqof": None, "Super Bowl LVIII": None, "section XV": None, "dont": 1, "ive": 1, "thats": 1, "doesnt": 2,
-    "I’m": 1, "wouldn't": 2, "hi <3 xD :) T_T :-( </3": 1, "ebay.com": 4, "check ebay.com please": 6, "https://www.example.com": None, "nine cats": 2, "": 0, "  \n": 0, "#日本": 0, "@日本": 1, "3:0": 1, "1999, yes": None, "5/17/2026": 12, "13/13/2026": None,
+    "I’m": 1, "wouldn't": 2, "hi <3 xD :) T_T :-( </3": 1, "ebay.com": 4, "check ebay.com please": 6, "https://www.example.com": None, "nine cats": 2, "": 0, "  \n": 0, "#日本": 0, "@日本": 1, "3:0": 1, "1999, yes": None, "5/17/2026": 9, "13/13/2026": 11,
 }
-TOTALS.pop("13/13/2026")
-TOTALS.pop("5/17/2026")
 LINES = [*TOTALS, "you have 7 dogs, or $19.99 more, lol", "sooooo bussin this time fr 🔥😭", "on 5/17/2026 by 10:45pm, ½ is done", "mail a.b@x.io or bit.ly/abc now", "#3 and #3rd and 3-2 and 3/4 555-1234 10:45 a man", "The cat. A dog!", "x" * 5000, "@ebay.com end.no way", "13/13/2026 25:00 2/0"]
 
 
@@ -33,14 +31,14 @@ def test_the_plan_equals_the_scalar_reading(spark):
         traced.setdefault(r["line_id"], []).append((r["pos"], r["raw"], r["n"], r["source"], r["confidence"], r["note"]))
     for k, text in enumerate(LINES):
         assert [x[1:] for x in sorted(traced.get(k, []))] == trace_text(text, LEXICON), text
-    assert {r["text"]: r["syllables"] for r in api.count_lines(frame(spark, LINES)).collect()} == {t: count_text(t, LEXICON) for t in LINES}
+    assert {r["text"]: r["syllable_count"] for r in api.count_lines(frame(spark, LINES)).collect()} == {t: count_text(t, LEXICON) for t in LINES}
 
 
 def test_a_lexicon_too_large_to_send_along_gives_the_same(spark, monkeypatch):
     known = resolve.seed_lexicon(spark)
-    want = sorted((r["line_id"], r["syllables"]) for r in api.count_lines(frame(spark, LINES), known).collect())
-    monkeypatch.setattr(resolve, "BROADCAST_WORDS", 10)
-    assert sorted((r["line_id"], r["syllables"]) for r in api.count_lines(frame(spark, LINES), known).collect()) == want
+    want = sorted((r["line_id"], r["syllable_count"]) for r in api.count_lines(frame(spark, LINES), known).collect())
+    monkeypatch.setattr(resolve, "BROADCAST_BYTES", 10)
+    assert sorted((r["line_id"], r["syllable_count"]) for r in api.count_lines(frame(spark, LINES), known).collect()) == want
     assert want == sorted((k, count_text(t, LEXICON)) for k, t in enumerate(LINES))
 
 
@@ -52,10 +50,10 @@ def test_analyze_keeps_lines_and_their_verdict(spark):
 def test_scorer_scatters_back_and_budgets(spark):
     lines = ["the quick qwertzuiop", "omg blarghhhh today", "a cat", "zyqof zyqof", "lol zyqof", None]
     make = scorer.peaked({"qwertzuiop": 2, "blargh": 2, "zyqof": 3})
-    got = lambda **k: [r["syllables"] for r in api.count_lines(frame(spark, lines), scorer=make(spark), **k).orderBy("line_id").collect()]
+    got = lambda **k: [r["syllable_count"] for r in api.count_lines(frame(spark, lines), scorer=make(spark), **k).orderBy("line_id").collect()]
     assert got() == [4, 7, 2, 6, None, None]
-    assert got(max_syllables=5) == [4, None, 2, None, None, None]
-    assert [r["syllables"] for r in api.count_lines(frame(spark, lines)).orderBy("line_id").collect()] == [None, None, 2, None, None, None]
+    assert got(most=5) == [4, None, 2, None, None, None]
+    assert [r["syllable_count"] for r in api.count_lines(frame(spark, lines)).orderBy("line_id").collect()] == [None, None, 2, None, None, None]
     # the scorer is not asked for a line that breaks the budget without it
     asked = []
 
@@ -63,16 +61,16 @@ def test_scorer_scatters_back_and_budgets(spark):
         asked.append(sorted(r["word"] for r in words.collect()))
         return make(spark)(words)
 
-    api.count_lines(frame(spark, lines), scorer=spy, max_syllables=4).collect()
+    api.count_lines(frame(spark, lines), scorer=spy, most=4).collect()
     assert asked == [["qwertzuiop", "zyqof"]]
 
 
 def test_haiku_and_sweep(spark):
     df = frame(spark, ["five cats in the house", "five cats in the house and home now", "nine cats", "five cats in the new house"])
-    assert [r["syllables"] for r in api.haiku_lines(df).orderBy("line_id").collect()] == [5, None, None, None]
+    assert [r["syllable_count"] for r in api.haiku_lines(df).orderBy("line_id").collect()] == [5, None, None, None]
     unsure = lambda words: words.select("word", F.array(*map(F.lit, [0.5, 0.3, 0.1, 0.05, 0.05, 0.0, 0.0, 0.0])).alias("p"))
     rows = api.fuzziness_sweep(frame(spark, ["zyqof"]), unsure).collect()
-    assert {r["fuzziness"]: r["syllables"] for r in rows} == {0.0: None, 0.25: None, 0.5: 1 if 0.5 >= 0.425 and 0.2 >= 0.175 else None, 0.75: 1, 1.0: 1}
+    assert {r["fuzziness"]: r["syllable_count"] for r in rows} == {0.0: None, 0.25: None, 0.5: 1 if 0.5 >= 0.425 and 0.2 >= 0.175 else None, 0.75: 1, 1.0: 1}
 
 
 def test_gate(spark):
@@ -98,7 +96,7 @@ def test_scanning_never_fails_and_marks_change_nothing(text):
 
 def test_repartitioning_changes_nothing(spark):
     df = frame(spark, LINES)
-    key = lambda d: sorted((r["line_id"], r["syllables"]) for r in d.collect())
+    key = lambda d: sorted((r["line_id"], r["syllable_count"]) for r in d.collect())
     assert key(api.count_lines(df.repartition(7))) == key(api.count_lines(df.coalesce(1)))
 
 
@@ -127,4 +125,4 @@ def test_registered_functions(spark):
 
 def test_description(spark):
     text = api.describe(frame(spark, ["5 cats!"])).first()["description"]
-    assert text.splitlines()[:2] == ["'5 cats!'", "[OK    ] total=2 syllables"] and len(text.splitlines()) == 4
+    assert text.splitlines()[:2] == ["'5 cats!'", "[OK    ] total=2"] and len(text.splitlines()) == 4

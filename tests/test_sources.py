@@ -91,7 +91,7 @@ def test_post_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
     stream = posts.english_posts(posts.created(posts.read_posts(spark, str(tmp_path / "in"))))
-    counted = stream.withColumn("syllables", posts.syllables(F.col("text"), SEED_LEXICON, 7))
+    counted = stream.withColumn("syllable_count", posts.sure_count(F.col("text"), SEED_LEXICON, 7))
     query = posts.counters(counted).writeStream.outputMode("complete").format("memory").queryName("seen_posts").trigger(availableNow=True).start()
     posts.run_for(query, 60)
     assert tuple(spark.table("seen_posts").first()) == (3, 2)
