@@ -1,7 +1,7 @@
 """Word and n-gram hashes of whole Arrow string columns, computed on their UTF-8 buffers with NumPy.
 
 A word is a maximal run of ASCII letters, digits and non-ASCII bytes; texts are lower-cased by Spark before they come
-here. No Python object is made for a word: a slice of about two megabytes of text is hashed in some twenty array passes.
+here. No Python object is made for a word: a slice of some hundred kilobytes of text, whose arrays fit the caches, is hashed in some twenty array passes.
 Null texts count as empty.
 """
 
@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE_VALUE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64)
