@@ -95,29 +95,32 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     return w
 
 
-def fit_link(hashes: np.ndarray, rows: np.ndarray, dense: np.ndarray, y: np.ndarray) -> Link:
-    """hashes, rows: the distinct words of each document. With too few positives or negatives, a constant."""
+def fit_link(vocabulary: np.ndarray, codes: np.ndarray, rows: np.ndarray, dense: np.ndarray, y: np.ndarray) -> Link:
+    """codes, rows: the distinct words of each document, as places in the sorted vocabulary. With too few positives or negatives, a constant.
+
+    Words are picked by how sure it is that they are of one class; among equals those of lower hashes.
+    """
     n, pos = len(y), float(y.sum())
     if min(pos, n - pos) < MIN_POSITIVES:
         p = (pos + 0.5) / (n + 1)
         return Link(np.zeros(0, np.uint64), np.zeros(0), np.zeros(dense.shape[1]), float(np.log(p / (1 - p))))
-    vocabulary, at = np.unique(hashes, return_inverse=True)
-    df, hit = np.bincount(at), np.bincount(at, y[rows])
+    df = np.bincount(codes, minlength=len(vocabulary))
+    hit = np.bincount(codes[y[rows] > 0], minlength=len(vocabulary))
     p = df / n
     z = (hit / pos - (df - hit) / (n - pos)) / np.sqrt(np.maximum(1e-12, p * (1 - p) * (1 / pos + 1 / (n - pos))))
     z[df < LEAST_DOCUMENTS] = 0
     best = np.flatnonzero(np.abs(z) >= LEAST_Z)
     best = np.sort(best[np.lexsort((vocabulary[best], -np.abs(z[best])))[:MOST_WORDS]])
     x = np.zeros((n, len(best)))
-    place = np.full(len(vocabulary), -1)
+    place = np.full(len(vocabulary), -1, np.int32)
     place[best] = np.arange(len(best))
-    found = place[at] >= 0
-    x[rows[found], place[at[found]]] = 1
+    found = np.flatnonzero(place[codes] >= 0)
+    x[rows[found], place[codes[found]]] = 1
     w = logistic(np.column_stack([x, dense]), y)
     return Link(vocabulary[best], w[: len(best)], w[len(best) : -1], float(w[-1]))
 
 
-def fit_chain(hashes: np.ndarray, rows: np.ndarray, dense: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> Chain:
+def fit_chain(vocabulary: np.ndarray, codes: np.ndarray, rows: np.ndarray, dense: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> Chain:
     """labels: a column of 0 or 1 for each category; folds: the fold of each document."""
     chain = Chain()
     if not len(labels):
@@ -130,12 +133,12 @@ def fit_chain(hashes: np.ndarray, rows: np.ndarray, dense: np.ndarray, labels: n
             if test.all():
                 out[:] = (y.sum() + 0.5) / (len(y) + 1)
                 break
-            place = np.cumsum(~test) - 1
+            place = (np.cumsum(~test) - 1).astype(np.int32)
             used = ~test[rows]
-            link = fit_link(hashes[used], place[rows[used]], dense[~test], y[~test])
-            there = np.cumsum(test) - 1
-            out[test] = link.predict(hashes[~used], there[rows[~used]], dense[test])
-        chain.links.append(fit_link(hashes, rows, dense, y))
+            link = fit_link(vocabulary, codes[used], place[rows[used]], dense[~test], y[~test])
+            there = (np.cumsum(test) - 1).astype(np.int32)
+            out[test] = link.predict(vocabulary[codes[~used]], there[rows[~used]], dense[test])
+        chain.links.append(fit_link(vocabulary, codes, rows, dense, y))
         dense = np.column_stack([dense, out])
     return chain
 
@@ -181,18 +184,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     order = order[np.argsort(ids[order], kind="stable")]
     y = np.column_stack([table[c].to_numpy()[order] for c in CATEGORIES]) if len(order) else np.zeros((0, len(CATEGORIES)))
     dense = np.array([np.frombuffer(table["dense"][i].as_py(), float) for i in order.tolist()])
-    each = [np.frombuffer(table["words"][i].as_py(), np.uint64) for i in order.tolist()]
+    held = table["words"].take(pa.array(order)).combine_chunks() if len(order) else pa.array([], pa.binary())
     del table
-    rows = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
-    hashes = np.concatenate([*each, np.zeros(0, np.uint64)]).astype(np.uint64)
-    del each
-    # no model takes a word of fewer than LEAST_DOCUMENTS, so the driver need not keep these, which are most
-    _, at, df = np.unique(hashes, return_inverse=True, return_counts=True)
-    often = df[at] >= LEAST_DOCUMENTS
-    hashes, rows = hashes[often], rows[often]
-    del at, often
+    ends = np.frombuffer(held.buffers()[1], np.int32)[: len(held) + 1].astype(np.int64) // 8 if len(held) else np.zeros(1, np.int64)
+    hashes = np.frombuffer(held.buffers()[2], np.uint64)[: ends[-1]] if ends[-1] else np.zeros(0, np.uint64)
+    rows = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(ends))
+    # no model takes a word of fewer than LEAST_DOCUMENTS, so the driver keeps the others alone, as their places among these
+    ranked = np.sort(hashes)
+    often = ranked[LEAST_DOCUMENTS - 1 :] == ranked[: len(ranked) - LEAST_DOCUMENTS + 1] if len(ranked) >= LEAST_DOCUMENTS else np.zeros(0, bool)
+    vocabulary = np.unique(ranked[: len(often)][often])
+    del ranked, often
+    codes, keep = np.zeros(len(hashes), np.int32), np.zeros(len(hashes), bool)
+    for lo in range(0, len(hashes) if len(vocabulary) else 0, 1 << 20):
+        some = hashes[lo : lo + (1 << 20)]
+        at = np.minimum(np.searchsorted(vocabulary, some), len(vocabulary) - 1)
+        codes[lo : lo + len(some)], keep[lo : lo + len(some)] = at, vocabulary[at] == some
+    del hashes, held
+    codes, rows = codes[keep], rows[keep]
     folds = (ids[order].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
-    return fit_chain(hashes, rows, dense, y, folds)
+    return fit_chain(vocabulary, codes, rows, dense, y, folds)
 
 
 class Scorer:

@@ -45,7 +45,8 @@ def test_later_links_see_out_of_fold_predictions():
     rows = np.arange(n).repeat(1)
     hashes = r.integers(1, 5, n).astype(np.uint64)
     y = np.stack([(hashes > 2).astype(int), (hashes > 2).astype(int)], 1)
-    chain = toxicity.fit_chain(hashes, rows, np.zeros((n, 0)), y, np.arange(n) % 5)
+    vocabulary, codes = np.unique(hashes, return_inverse=True)
+    chain = toxicity.fit_chain(vocabulary, codes, rows, np.zeros((n, 0)), y, np.arange(n) % 5)
     assert len(chain.links) == 2 and len(chain.links[0].weights) == 0 and len(chain.links[1].weights) == 1 and chain.links[1].weights[0] > 0
     p = chain.predict(hashes, rows, np.zeros((n, 0)))
     assert p.shape == (n, 2) and ((p[:, 1] > 0.5) == y[:, 1]).mean() > 0.9
