@@ -1,9 +1,12 @@
 """Language-model scores by deleted interpolation.
 
-The model predicts a text's bytes, lower-cased, from up to ORDER - 1 bytes before. Maximum-likelihood estimates of all
-orders and a uniform one are mixed; the weights depend on the bucket of how often the longest context occurs, a bucket for each power of
-two. They are learned by expectation-maximisation on the n-grams of held-out documents, under counts of the others; the
-scores use counts of all documents.
+The model predicts each word of a text from the two before. Maximum-likelihood estimates of word 3-, 2- and 1-grams and a uniform one are mixed; the
+weights depend on the bucket of how often the two words before occur, a bucket for each power of two. They are learned by expectation-maximisation on the events of
+held-out documents, under counts of the others. A text is scored under counts of all documents, from which the one event that is predicted is deleted, so a text
+that occurs once doesn't predict itself.
+
+All events are shuffled once, packed, to the part of their middle word, where every count that they need is at hand but that of single words; words of many events are spread over
+several parts, to which counts of their contexts go along. Parts give sums for blocks of rows.
 """
 
 from __future__ import annotations
@@ -12,183 +15,345 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm.session import cut, share
-from cadence.llm.textkernel import mix, slices
+from cadence.llm.textkernel import Hasher, mix, slices
+
+HELD_OUT, ROUNDS, BUCKETS = 50, 12, 24
+#: Most words that are told apart as 1-grams: the most frequent. All others together are one class, within which they are equally likely; in longer n-grams they are told apart by 31 bits.
+VOCABULARY = 1 << 20
+#: Events of a part, about; words of more than half of it are spread.
+PART = 2_000_000
+#: Held-out events are told apart by their estimates in half powers of two, so that there are at most BUCKETS * 64**3 kinds, whatever the corpus.
+STEP, LEVELS = 2, 64
+_FLUSH, _ROWS, _BLOCK, _RARE = 1 << 21, 1 << 15, 12, np.uint32(1 << 31)
 
-ORDER, HELD_OUT, ROUNDS, BUCKETS = 5, 10, 12, 24
-#: Most n-grams whose log-probabilities are broadcast for scoring; more are joined by shuffle.
-BROADCAST_GRAMS = 6_000_000
-_MERGE = 1 << 22
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length as compressed planes of their bytes."""
+    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return len(arrays[0]).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
-def gram_keys(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """For each byte the last `order` bytes up to it, the latest lowest; zeros stand before a text's first byte."""
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    key = data.astype(np.int64)
-    for j in range(1, order):
-        before = np.zeros(len(data), np.int64)
-        before[j:] = data[:-j]
-        before[place < j] = 0
-        key |= before << (8 * j)
-    return key
 
+def _unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    n, sizes = int.from_bytes(blob[:8], "little"), [np.dtype(k).itemsize for k in kinds]
+    raw = np.frombuffer(pa.decompress(blob[8:], n * sum(sizes), codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    ends = n * np.cumsum(sizes)
+    return [np.ascontiguousarray(raw[e - n * s : e].reshape(s, n).T).view(k).ravel() for e, s, k in zip(ends, sizes, kinds)]
 
-def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Sums of each key in train and held-out documents, merged within the task up to some millions of keys."""
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of each word in train and held-out rows, merged within the task up to some millions; word 0 stands for the beginning of a text that has words."""
 
     def merged(parts: list) -> list:
         key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        counts = np.stack([np.bincount(at, np.concatenate([c[i] for _, c in parts]), len(key)) for i in range(2)]).astype(np.int64)
-        return [(key, counts)]
+        return [(key, np.bincount(at, np.concatenate([c for _, c in parts]), len(key)).astype(np.int64))]
 
     def rows(parts: list) -> Iterator[pa.RecordBatch]:
         for key, counts in merged(parts):
+            word, held = (key >> np.uint64(1)).view(np.int64), key & np.uint64(1) == 1
             for i in range(0, len(key), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (key, *counts)], names=["key", "train", "held"])
+                s = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(word[s]), pa.array(np.where(held[s], 0, counts[s])), pa.array(np.where(held[s], counts[s], 0))], names=["word", "train", "held"])
 
-    parts: list = []
-    size = 0
+    hasher, parts, size = Hasher(), [], 0
     for batch in batches:
-        held = batch.column("held").to_numpy(zero_copy_only=False)
+        held = batch.column("held").to_numpy(zero_copy_only=False).astype(np.uint64)
         for lo, hi, data, offsets in slices(batch.column("text")):
-            if not len(data):
-                continue
-            out = np.repeat(held[lo:hi], np.diff(offsets))
-            key, counts = np.unique(gram_keys(data, offsets, order) << 1 | out, return_counts=True)
-            two = np.zeros((2, len(key)), np.int64)
-            two[key & 1, np.arange(len(key))] = counts
-            parts.append((key >> 1, two))
+            words = hasher.words(data, offsets)
+            n = np.diff(words.bounds)
+            own = held[lo:hi]
+            key, counts = np.unique(np.concatenate([_named(words.hash) << np.uint64(1) | np.repeat(own, n), own[n > 0]]), return_counts=True)
+            parts.append((key, counts))
             size += len(key)
-            if size > _MERGE:
+            if size > 1 << 21:
                 parts = merged(parts)
                 size = len(parts[0][0])
-                if size > _MERGE // 2:
+                if size > 1 << 20:
                     yield from rows(parts)
                     parts, size = [], 0
     if parts:
         yield from rows(parts)
 
 
-def gram_counts(docs: DataFrame, order: int = ORDER, held_out: int = HELD_OUT) -> DataFrame:
-    """(key, train, held) of every n-gram of every text; one document in held_out, by the hash of its id, is held out."""
-    texts = docs.where("text is not null").select(F.lower("text").alias("text"), (F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0).cast("int").alias("held"))
-    rows = texts.mapInArrow(lambda batches: _count(batches, order), "key long, train long, held long")
-    return rows.groupBy("key").agg(F.sum("train").alias("train"), F.sum("held").alias("held"))
-
-
-def estimates(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """counts with bucket and p, the estimates of orders 0 (uniform) to `order`, from train counts and, bucket_all and p_all, from all."""
-    out = counts
-    # a negative train count can't arise: train and held are of different documents
-    for k in range(order, 0, -1):
-        low, high = (1 << 8 * k) - 1, (1 << 8 * (k - 1)) - 1
-        sums = lambda name: [F.sum("train").alias(f"{name}_train"), F.sum(F.col("train") + F.col("held")).alias(f"{name}_all")]
-        gram, context = F.col("key").bitwiseAND(F.lit(low)), F.shiftright("key", 8).bitwiseAND(F.lit(high))
-        out = out.withColumn("g", gram).withColumn("x", context)
-        out = out.join(counts.groupBy(gram.alias("g")).agg(*sums(f"n{k}")), "g").join(counts.groupBy(context.alias("x")).agg(*sums(f"d{k}")), "x").drop("g", "x")
-    for what, name in (("train", ""), ("all", "_all")):
-        ratio = [F.when(F.col(f"d{k}_{what}") > 0, F.col(f"n{k}_{what}") / F.col(f"d{k}_{what}")).otherwise(F.lit(0.0)) for k in range(1, order + 1)]
-        out = out.withColumn(f"p{name}", F.array(F.lit(1 / 256), *ratio))
-        out = out.withColumn(f"bucket{name}", F.least(F.lit(BUCKETS - 1), F.ceil(F.log2(F.col(f"d{order}_{what}") + 1.0))).cast("int"))
-    return out.select("key", "train", "held", "p", "bucket", "p_all", "bucket_all")
-
-
-def _weights(table: DataFrame, weights: np.ndarray, p: str, bucket: str) -> DataFrame:
-    """table with w, the weights of its bucket, and mixed, the mixture of p."""
-    spark = table.sparkSession
-    rows = spark.createDataFrame([Row(**{bucket: b, "w": [float(x) for x in weights[b]]}) for b in range(len(weights))], f"{bucket} int, w array<double>")
-    table = table.join(F.broadcast(rows), bucket)
-    return table.withColumn("mixed", sum((F.col("w")[k] * F.col(p)[k] for k in range(1, weights.shape[1])), F.col("w")[0] * F.col(p)[0]))
-
-
-def learn_weights(table: DataFrame, order: int = ORDER, rounds: int = ROUNDS) -> np.ndarray:
-    """(bucket, order + 1): the mixture weights. A bucket without held-out n-grams keeps equal ones."""
-    weights = np.full((BUCKETS, order + 1), 1 / (order + 1))
-    held = cut(table.where("held > 0").select("held", "p", "bucket"))
-    for _ in range(rounds):
-        mixed = _weights(held, weights, "p", "bucket")
-        share_of = [F.sum(F.col("held") * F.col("w")[k] * F.col("p")[k] / F.col("mixed")).alias(f"s{k}") for k in range(order + 1)]
-        for r in mixed.groupBy("bucket").agg(*share_of).collect():
-            got = np.array(r[1:])
-            weights[r["bucket"]] = got / got.sum()
-    return weights
+def _named(h: np.ndarray) -> np.ndarray:
+    """Words by 63 bits, none of them 0."""
+    return np.maximum(h >> np.uint64(1), np.uint64(1))
+
+
+class Model:
+    """The words that are told apart, by falling count, and the totals; number 0 is the beginning of a text."""
+
+    def __init__(self, words: np.ndarray, every: np.ndarray, train: np.ndarray, starts: int, rare: tuple[int, int, int], part: int) -> None:
+        order = np.lexsort((words, -every))
+        self.every, self.train = (np.concatenate([[0], x[order]]) for x in (every, train))
+        by = np.argsort(words[order])
+        self.sorted, self.number = words[order][by], (by + 1).astype(np.uint32)
+        self.types, self.rare, self.rare_train = rare
+        self.n, self.n_train = int(self.every.sum()) + self.rare, int(self.train.sum()) + self.rare_train
+        self.parts = max(1, -(-self.n // part))
+        middle = self.every.copy()
+        middle[0] = starts
+        self.salts = np.maximum(1, -(-2 * middle // part)).astype(np.int64)
+        self.uniform = 1 / (len(words) + self.types + 1)
 
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        h = _named(h)
+        if not len(self.sorted):
+            return _RARE | (h >> np.uint64(32)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == h, self.number[at], _RARE | (h >> np.uint64(32)).astype(np.uint32))
 
-class Lookup:
-    """Log-probabilities of keys, in an open hash table."""
+    def spread(self, v: np.ndarray) -> np.ndarray:
+        """Over how many parts the events of middle words are spread."""
+        return np.where(v < _RARE, self.salts[np.minimum(v, len(self.salts) - 1)], 1)
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
-        slot, left = self.slots(keys), np.arange(len(keys))
-        while len(left):
-            free = self.keys[slot[left]] < 0
-            self.keys[slot[left[free]]] = keys[left[free]]
-            placed = self.keys[slot[left]] == keys[left]
-            self.values[slot[left[placed]]] = values[left[placed]]
-            left = left[~placed]
-            slot[left] = (slot[left] + 1) & self.mask
+    def part(self, v: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return (mix(v.astype(np.uint64) << np.uint64(20) | salt.astype(np.uint64)) % np.uint64(self.parts)).astype(np.int64)
 
-    def slots(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys.astype(np.uint64)) >> self.shift).astype(np.int64)
+    def single(self, w: np.ndarray, deleted: bool) -> np.ndarray:
+        """Estimates of 1-grams: with an event deleted from all counts, or of train counts."""
+        known = w < _RARE
+        at = np.where(known, w, 0)
+        if deleted:
+            return np.where(known, self.every[at] - 1, (self.rare - 1) / max(1, self.types)) / max(1, self.n - 1)
+        return np.where(known, self.train[at], self.rare_train / max(1, self.types)) / max(1, self.n_train)
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Values of keys, all of which are in the table."""
-        slot = self.slots(keys)
-        left = np.flatnonzero(self.keys[slot] != keys)
-        while len(left):
-            slot[left] = (slot[left] + 1) & self.mask
-            left = left[self.keys[slot[left]] != keys[left]]
-        return self.values[slot]
 
+def _ratio(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(d > 0, n / np.maximum(1, d), 0.0)
 
-def _row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
 
+def _bucket(d: np.ndarray) -> np.ndarray:
+    return np.minimum(BUCKETS - 1, np.ceil(np.log2(d + 1.0))).astype(np.int64)
 
-def score(docs: DataFrame, order: int = ORDER, held_out: int = HELD_OUT, rounds: int = ROUNDS, broadcast: int = BROADCAST_GRAMS) -> DataFrame:
-    """(doc_id, n_bytes, log2_prob, bits_per_byte): one row for each row of docs.
 
-    n_bytes is of the lower-cased text. A null or empty text has n_bytes and log2_prob 0 and a null bits_per_byte. Null and repeated ids are scored like any
-    other row. Up to `broadcast` distinct n-grams their log-probabilities are broadcast; above, they are joined.
+def learn_weights(kinds: np.ndarray, counts: np.ndarray, uniform: float, rounds: int = ROUNDS) -> np.ndarray:
+    """(bucket, 4): weights of the uniform, 1-, 2- and 3-gram estimates, from kinds of held-out events and how often they occur. A bucket without any has equal ones."""
+    bucket = kinds >> 18
+    level = np.stack([kinds >> s & 63 for s in (0, 6, 12)], 1)
+    p = np.column_stack([np.full(len(kinds), uniform), np.where(level > 0, 2.0 ** (-(level - 1) / STEP), 0.0)])
+    weights = np.full((BUCKETS, 4), 0.25)
+    for _ in range(rounds):
+        share_of = weights[bucket] * p
+        share_of *= (counts / share_of.sum(1))[:, None]
+        got = np.stack([np.bincount(bucket, share_of[:, k], BUCKETS) for k in range(4)], 1)
+        some = got.sum(1) > 0
+        weights[some] = got[some] / got[some].sum(1, keepdims=True)
+    return weights
+
+
+def _events(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, kind, base, blob): packed events of each part (0), contexts of middle words that are spread (1), and, by the block of rows, what rows there are (2)."""
+    hasher = Hasher()
+    base, held_rows, pieces, size, roster = None, None, [], 0, []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        if pieces:
+            v, u, w, row = (np.concatenate([p[k] for p in pieces]) for k in range(4))
+            spread = model.spread(v)
+            part = model.part(v, np.where(spread > 1, mix(w.astype(np.uint64)).astype(np.int64) & 0x7FFFFFFF, 0) % spread)
+            order = np.argsort(part << 32 | v.astype(np.int64), kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            for s in np.split(order, cuts):
+                out.append((int(part[s[0]]), 0, base, _packed(np.diff(v[s], prepend=np.uint32(0)), u[s], w[s], row[s])))
+            hot = np.flatnonzero(spread > 1)
+            if len(hot):
+                pair, at, n = np.unique(v[hot].astype(np.uint64) << np.uint64(32) | u[hot], return_inverse=True, return_counts=True)
+                train = np.bincount(at, row[hot] < _ROWS, len(pair)).astype(np.int64)
+                copies = model.spread((pair >> np.uint64(32)).astype(np.uint32))
+                each = np.repeat(np.arange(len(pair)), copies)
+                salt = np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
+                part = model.part((pair >> np.uint64(32)).astype(np.uint32)[each], salt)
+                order = np.argsort(part, kind="stable")
+                for s in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                    e = each[s]
+                    out.append((int(part[s[0]]), 1, base, _packed(pair[e], n[e].astype(np.uint32), train[e].astype(np.uint32))))
+        if roster:
+            row, ids, has, n = (np.concatenate([p[k] for p in roster]) for k in range(4))
+            for s in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row >> _BLOCK)) + 1):
+                block = int(row[s[0]] >> _BLOCK)
+                out.append((block % model.parts, 2, block, _packed((row[s] & (1 << _BLOCK) - 1).astype(np.uint16), ids[s], has[s], n[s])))
+        pieces.clear()
+        roster.clear()
+        if out:
+            columns = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], names=["part", "kind", "base", "blob"])
+
+    for batch in batches:
+        rows, held = batch.column("row").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+        ids = batch.column("doc_id")
+        has, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        for lo, hi, data, offsets in slices(batch.column("text")):
+            if base is not None and (rows[hi - 1] - base >= _ROWS or rows[lo] < base or size > _FLUSH):
+                yield from flush()
+                base, size = None, 0
+            for s in range(lo, hi, _ROWS):  # rows of a slice without words may be many
+                t = min(hi, s + _ROWS)
+                if base is not None and rows[t - 1] - base >= _ROWS:
+                    yield from flush()
+                    base = None
+                base = int(rows[s]) if base is None else base
+                words = hasher.words(data[offsets[s - lo] : offsets[t - lo]], offsets[s - lo : t - lo + 1] - offsets[s - lo])
+                n = np.diff(words.bounds)
+                roster.append((rows[s:t], ids[s:t], has[s:t], n.astype(np.uint32)))
+                if not len(words.hash):
+                    continue
+                w = model.numbers(words.hash)
+                place = np.arange(len(w)) - np.repeat(words.bounds[:-1], n)
+                v, u = np.zeros_like(w), np.zeros_like(w)
+                v[1:], u[2:] = w[:-1], w[:-2]
+                v[place < 1] = u[place < 2] = 0
+                local = (rows[s:t] - base).astype(np.uint16) | np.where(held[s:t], _ROWS, 0).astype(np.uint16)
+                pieces.append((v, u, w, np.repeat(local, n)))
+                size += len(w)
+    yield from flush()
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of runs of equal keys, and the run of each place."""
+    first = np.zeros(len(keys[0]), bool)
+    first[:1] = True
+    for k in keys:
+        first[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(first), np.cumsum(first) - 1
+
+
+class Tally:
+    """All events of a part and the counts that they need: n3, d3, n2, d2 of all rows and, with _train, of train rows."""
+
+    def __init__(self, table: pa.Table, model: Model) -> None:
+        v, u, w, row, base, pairs = [], [], [], [], [], []
+        for kind, at, blob in zip(table["kind"].to_pylist(), table["base"].to_pylist(), table["blob"].to_pylist()):
+            if kind == 0:
+                dv, *rest = _unpacked(blob, "<u4", "<u4", "<u4", "<u2")
+                v.append(np.cumsum(dv, dtype=np.uint32))
+                for to, x in zip((u, w, row), rest):
+                    to.append(x)
+                base.append(np.full(len(dv), at))
+            elif kind == 1:
+                pairs.append(_unpacked(blob, "<u8", "<u4", "<u4"))
+        self.empty = not v
+        if self.empty:
+            return
+        v, u, w, row, base = map(np.concatenate, (v, u, w, row, base))
+        key = v.astype(np.uint64) << np.uint64(32) | u
+        order = np.lexsort((w, key))
+        key, v, self.w, row, base = key[order], v[order], w[order], row[order], base[order]
+        self.held = row >= _ROWS
+        self.row = base + (row & (_ROWS - 1))
+        train = (~self.held).astype(np.int64)
+
+        def counts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            start, run = _runs(*keys)
+            return np.diff(np.append(start, len(v)))[run], np.add.reduceat(train, start)[run]
+
+        self.n3, self.n3_train = counts(key, self.w)
+        self.d3, self.d3_train = counts(key)
+        self.d2, self.d2_train = counts(v)
+        other = v.astype(np.uint64) << np.uint64(32) | self.w
+        by = np.argsort(other)
+        start, run = _runs(other[by])
+        self.n2, self.n2_train = np.empty_like(self.n3), np.empty_like(self.n3)
+        self.n2[by], self.n2_train[by] = np.diff(np.append(start, len(by)))[run], np.add.reduceat(train[by], start)[run]
+        hot = np.flatnonzero(model.spread(v) > 1)
+        if len(hot):
+            pair, n, t = (np.concatenate([p[k] for p in pairs]) for k in range(3))
+            pair, at = np.unique(pair, return_inverse=True)
+            n, t = (np.bincount(at, x, len(pair)).astype(np.int64) for x in (n, t))
+            found = np.searchsorted(pair, key[hot])
+            self.d3[hot], self.d3_train[hot] = n[found], t[found]
+            start, run = _runs(pair >> np.uint64(32))
+            found = run[found]
+            self.d2[hot], self.d2_train[hot] = np.add.reduceat(n, start)[found], np.add.reduceat(t, start)[found]
+
+
+def held_kinds(tally: Tally, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of held-out events and how often they occur: bucket and levels of the three estimates under train counts."""
+    at = np.flatnonzero(tally.held)
+    p = [model.single(tally.w[at], False), _ratio(tally.n2_train[at], tally.d2_train[at]), _ratio(tally.n3_train[at], tally.d3_train[at])]
+    level = [np.where(x > 0, 1 + np.minimum(LEVELS - 2, np.round(-np.log2(np.maximum(x, 1e-300)) * STEP)), 0).astype(np.int64) for x in p]
+    return np.unique(_bucket(tally.d3_train[at]) << 18 | level[2] << 12 | level[1] << 6 | level[0], return_counts=True)
+
+
+def log2_probabilities(tally: Tally, model: Model, weights: np.ndarray) -> np.ndarray:
+    """Of each event, deleted from the counts."""
+    w = weights[_bucket(tally.d3 - 1)]
+    return np.log2(w[:, 0] * model.uniform + w[:, 1] * model.single(tally.w, True) + w[:, 2] * _ratio(tally.n2 - 1, tally.d2 - 1) + w[:, 3] * _ratio(tally.n3 - 1, tally.d3 - 1))
+
+
+def fit_words(texts: DataFrame, vocabulary: int = VOCABULARY, part: int = PART) -> Model:
+    """Counts of all words; the driver gets the most frequent ones, and totals of the others."""
+    counts = cut(texts.select("text", "held").mapInArrow(_word_counts, "word long, train long, held long").groupBy("word").agg(F.sum("train").alias("train"), F.sum("train").alias("every") + F.sum("held")).toDF("word", "train", "every"))
+    level = F.floor(F.log2("every") * 8)
+    got, least = 0, None
+    for r in counts.where("word <> 0").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        got += r["count"]
+        if got > vocabulary:
+            break
+        least = r["level"]
+    frequent = level >= least if least is not None else F.lit(False)
+    known = counts.where((F.col("word") != 0) & frequent).toArrow()
+    rare = counts.where((F.col("word") != 0) & ~frequent).agg(F.count("*"), F.sum("every"), F.sum("train")).first()
+    starts = counts.where("word = 0").agg(F.sum("every")).first()[0] or 0
+    columns = [known[c].to_numpy() for c in ("word", "every", "train")]
+    return Model(columns[0].astype(np.uint64), columns[1], columns[2], starts, tuple(x or 0 for x in rare), part)
+
+
+def score(docs: DataFrame, held_out: int = HELD_OUT, rounds: int = ROUNDS, vocabulary: int = VOCABULARY, part: int = PART) -> DataFrame:
+    """(doc_id, n_words, log2_prob): one row for each row of docs; log2_prob is the mean of its words.
+
+    One row in held_out, by the hash of its id, is held out. A text that is null, empty or without words has n_words 0 and a null log2_prob. Null and repeated ids are scored like any
+    other row, and equal texts alike; a row whose text occurs elsewhere is likelier for it. One text must fit a worker. Other columns are not read.
     """
-    table = cut(estimates(cut(gram_counts(docs, order, held_out)), order))
-    weights = learn_weights(table, order, rounds)
-    scored = _weights(table, weights, "p_all", "bucket_all").select("key", F.log2("mixed").cast("float").alias("value"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    spec = "doc_id long, n_bytes long, log2_prob double"
-    if table.count() <= broadcast:
-        got = scored.toArrow()
-        known = share(docs.sparkSession, (got["key"].to_numpy(), got["value"].to_numpy()))
-        del got
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lookup = Lookup(*known())
-            for batch in batches:
-                for lo, hi, data, offsets in slices(batch.column("text")):
-                    sums = _row_sums(lookup(gram_keys(data, offsets, order)) if len(data) else np.zeros(0), offsets)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(offsets)), pa.array(sums)], names=["doc_id", "n_bytes", "log2_prob"])
-
-        out = texts.mapInArrow(run, spec)
-    else:
-
-        def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi, data, offsets in slices(batch.column("text")):
-                    ids = batch.column("row").slice(lo, hi - lo)
-                    row = np.repeat(np.arange(hi - lo), np.diff(offsets))
-                    keys = gram_keys(data, offsets, order) if len(data) else np.zeros(0, np.int64)
-                    order_ = np.lexsort((keys, row))
-                    keys, row = keys[order_], row[order_]
-                    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])])) if len(keys) else np.zeros(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[first])), pa.array(keys[first]), pa.array(np.diff(np.append(first, len(keys))))], names=["row", "key", "n"])
-
-        named = cut(texts.withColumn("row", F.monotonically_increasing_id()))
-        sums = named.select("row", "text").mapInArrow(grams, "row long, key long, n long").join(scored, "key").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("log2_prob"))
-        out = named.join(sums, "row", "left").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce("log2_prob", F.lit(0.0)).alias("log2_prob"))
-    return out.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("log2_prob") / F.col("n_bytes")))
+    spark = docs.sparkSession
+    held = (F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0).cast("int")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), held.alias("held"))
+    model = share(spark, fit_words(texts, vocabulary, part))
+    packed = texts.mapInArrow(lambda batches: _events(model(), batches), "part int, kind int, base long, blob binary").repartition("part")
+
+    def kinds(table: pa.Table) -> pa.Table:
+        tally = Tally(table, model())
+        kind, n = (np.zeros(0, np.int64),) * 2 if tally.empty else held_kinds(tally, model())
+        return pa.table({"kind": kind, "n": n})
+
+    def learn(table: pa.Table) -> pa.Table:
+        kind = table["kind"].to_numpy()
+        return pa.table({"weights": [learn_weights(kind, table["n"].to_numpy(), model().uniform, rounds).ravel().tolist()]})
+
+    # the kinds of events are few whatever the corpus, so one task learns of them
+    known = packed.groupBy("part").applyInArrow(kinds, "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n"))
+    weights = known.groupBy(F.lit(0).alias("one")).applyInArrow(learn, "weights array<double>").agg(F.first("weights").alias("weights"))
+
+    def sums(table: pa.Table) -> pa.Table:
+        """(block, blob): sums for the rows of each block, and the rows that there are."""
+        rows = [(at, 1, blob) for kind, at, blob in zip(table["kind"].to_pylist(), table["base"].to_pylist(), table["blob"].to_pylist()) if kind == 2]
+        tally = Tally(table, model())
+        if not tally.empty:
+            w = table["weights"][0].as_py()
+            p = log2_probabilities(tally, model(), np.array(w).reshape(BUCKETS, 4) if w else np.full((BUCKETS, 4), 0.25))
+            row, at = np.unique(tally.row, return_inverse=True)
+            total = np.bincount(at, p, len(row)).astype(np.float32)
+            for s in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row >> _BLOCK)) + 1):
+                rows.append((int(row[s[0]] >> _BLOCK), 0, _packed((row[s] & (1 << _BLOCK) - 1).astype(np.uint16), total[s])))
+        columns = list(zip(*rows)) if rows else [()] * 3
+        return pa.table({"block": pa.array(columns[0], pa.int64()), "kind": pa.array(columns[1], pa.int32()), "blob": pa.array(columns[2], pa.binary())})
+
+    def finish(table: pa.Table) -> pa.Table:
+        total, out = np.zeros(1 << _BLOCK), []
+        for kind, blob in zip(table["kind"].to_pylist(), table["blob"].to_pylist()):
+            if kind:
+                out.append(_unpacked(blob, "<u2", "<i8", "?", "<u4"))
+            else:
+                at, s = _unpacked(blob, "<u2", "<f4")
+                total[at] += s
+        at, ids, has, n = (np.concatenate([x[k] for x in out]) for k in range(4))
+        mean = total[at] / np.maximum(1, n)
+        return pa.table({"doc_id": pa.array(ids, mask=~has), "n_words": n.astype(np.int64), "log2_prob": pa.array(mean, mask=n == 0)})
+
+    # a scalar: the weights go along with each row, and the shuffle that they were learned from is read again
+    scored = packed.withColumn("weights", weights.scalar()).groupBy("part").applyInArrow(sums, "block long, kind int, blob binary")
+    return scored.groupBy("block").applyInArrow(finish, "doc_id long, n_words long, log2_prob double")
