@@ -183,6 +183,11 @@ def correct(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     known = lexicon.where(fits("word")).select(F.col("word").alias("corrected")).distinct().withColumn("piece", F.explode(deletions(F.col("corrected"))))
     start = (F.substring("word", 1, 1) == F.substring("corrected", 1, 1)) | (F.substring("corrected", 1, 2) == F.reverse(F.substring("word", 1, 2)))
     pairs = asked.join(known, "piece").where("word <> corrected").select("word", "corrected").distinct().where(start)
-    near = pairs.withColumn("distance", osa_distance("word", "corrected")).where(F.col("distance") <= F.when(F.length("word") >= 8, 2).otherwise(1))
+    # a swap of neighbours is two plain edits, so with s swaps the distance is the plain one less s, and a pair farther than four plain edits is out
+    most = F.when(F.length("word") >= 8, 2).otherwise(1)
+    pairs = pairs.withColumn("plain", F.levenshtein("word", "corrected", 4)).where((F.col("plain") >= 0) & (F.col("plain") <= 2 * most))
+    settled = F.col("plain") <= 1
+    near = pairs.where(settled).select("word", "corrected", F.col("plain").alias("distance"))
+    near = near.unionByName(pairs.where(~settled).select("word", "corrected", osa_distance("word", "corrected").alias("distance"))).where(F.col("distance") <= most)
     best = near.withColumn("least", F.min("distance").over(W.partitionBy("word"))).where("distance = least").groupBy("word").agg(F.count("*").alias("ties"), F.min("corrected").alias("corrected"), F.min("distance").alias("distance"))
     return best.where("ties = 1").select("word", "corrected", "distance")

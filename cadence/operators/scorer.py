@@ -73,10 +73,25 @@ def random_weights(seed: int = 0, **caps) -> dict[str, np.ndarray]:
     return {n: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32) for n, s in shapes(**caps)}
 
 
-def save_weights(path: str, weights: dict[str, np.ndarray], **caps) -> None:
-    meta = {"format": 1, "alphabet": ALPHABET, "max_len": WIDTH, "num_classes": CLASSES, "caps": caps, "paths": [n for n, _ in shapes(**caps)]}
-    arrays = {f"p{k}": weights[n] for k, (n, _) in enumerate(shapes(**caps))}
-    np.savez(path, **arrays, meta=json.dumps(meta))
+#: Names of capacities in a file of weights, with what a file that leaves one out means.
+CAPS = {"emb": ("embed_dim", 24), "widths": ("conv_widths", [2, 3]), "filters": ("conv_filters", 32), "gru": ("gru_hidden", 48), "head": ("head_hidden", 64)}
+
+
+def key_path(name: str) -> str:
+    """A weight's name as files have it: the keys that lead to it in nested mappings."""
+    return "".join(f"[{k}]" if k.isdigit() else f"['{k}']" for k in name.split("."))
+
+
+def save_weights(path: str, weights: dict[str, np.ndarray], provenance: dict | None = None, **caps) -> None:
+    """One file of arrays p0, p1, ... in the order of shapes(), and meta, JSON of the contract, capacities, names and shapes."""
+    expected = shapes(**caps)
+    arrays = [np.asarray(weights[n]) for n, _ in expected]
+    defaults = dict(zip(("emb", "widths", "filters", "gru", "head"), (12, [2, 3], 16, 16, 32))) | caps
+    meta = {
+        "format_version": 1, "alphabet": ALPHABET, "num_classes": CLASSES, "max_len": WIDTH, "caps": {CAPS[k][0]: list(v) if k == "widths" else v for k, v in defaults.items()},
+        "param_paths": [key_path(n) for n, _ in expected], "param_shapes": [list(a.shape) for a in arrays], "provenance": provenance or {},
+    }
+    np.savez(path, meta=np.array(json.dumps(meta)), **{f"p{k}": a for k, a in enumerate(arrays)})
 
 
 def load_weights(path: str) -> dict[str, np.ndarray]:
@@ -86,8 +101,11 @@ def load_weights(path: str) -> dict[str, np.ndarray]:
         for key, want in (("alphabet", ALPHABET), ("max_len", WIDTH), ("num_classes", CLASSES)):
             if meta.get(key) != want:
                 raise ValueError(f"{key} is {meta.get(key)!r}, not {want!r}")
-        expected = shapes(**meta.get("caps", {}))
-        if meta.get("paths", [n for n, _ in expected]) != [n for n, _ in expected]:
+        caps = meta.get("caps", {})
+        if unknown := set(caps) - {name for name, _ in CAPS.values()}:
+            raise ValueError(f"unknown capacities {sorted(unknown)}")
+        expected = shapes(**{k: caps.get(name, default) for k, (name, default) in CAPS.items()})
+        if meta.get("param_paths") != [key_path(n) for n, _ in expected]:
             raise ValueError("other weights than expected")
         out = {}
         for k, (name, shape) in enumerate(expected):
@@ -117,8 +135,8 @@ def _recur(x: np.ndarray, mask: np.ndarray, w: dict[str, np.ndarray], side: str)
     return out
 
 
-def forward(ids: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
-    """Class probabilities of encoded words: convolutions, a recurrence in both directions, a masked mean, two layers."""
+def logits(ids: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """Raw class scores of encoded words: convolutions, a recurrence in both directions, a masked mean, two layers."""
     mask = (ids > 0).astype(float)
     x = w["emb"][ids] * mask[..., None]
     parts = []
@@ -129,19 +147,24 @@ def forward(ids: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     x = np.concatenate(parts, -1)
     both = np.concatenate([_recur(x, mask, w, "gru_f"), _recur(x[:, ::-1], mask[:, ::-1], w, "gru_b")[:, ::-1]], -1)
     mean = (both * mask[..., None]).sum(1) / np.maximum(1, mask.sum(1))[:, None]
-    z = np.maximum(0, mean @ w["W1"] + w["b1"]) @ w["W2"] + w["b2"]
+    return np.maximum(0, mean @ w["W1"] + w["b1"]) @ w["W2"] + w["b2"]
+
+
+def forward(ids: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """Class probabilities of encoded words."""
+    z = logits(ids, w)
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
 
-def model_scorer(weights: dict[str, np.ndarray]) -> Scorer:
-    """The network, run over Arrow batches. A word without a letter a-z has null probabilities: nothing of it would be seen."""
+def model_scorer(weights: dict[str, np.ndarray], raw: bool = False) -> Scorer:
+    """The network, run over Arrow batches; raw gives its scores for p. A word without a letter a-z has null ones: nothing of it would be seen."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for words in batches:
             ids = encode([w or "" for w in words])
-            p = forward(ids, weights) if len(ids) else np.zeros((0, CLASSES))
+            p = (logits if raw else forward)(ids, weights) if len(ids) else np.zeros((0, CLASSES))
             yield pd.Series([row.tolist() if has else None for row, has in zip(p, (ids > 0).any(1))], dtype=object)
 
     return lambda words: words.select("word", run("word").alias("p"))

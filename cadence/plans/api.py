@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.operators import policy, resolve, tokens
@@ -104,7 +104,7 @@ def fuzziness_sweep(lines: DataFrame, scorer: Scorer, steps: tuple[float, ...] =
     return each.join(counts, [key, "fuzziness"], "left").select(*lines.columns, "syllable_count", "fuzziness")
 
 
-def _quoted(c) -> F.Column:
+def _quoted(c: Column | str) -> Column:
     return F.concat(F.lit("'"), c, F.lit("'"))
 
 
@@ -137,9 +137,9 @@ def explain(lines: DataFrame, lexicon: DataFrame | None = None, scorer: Scorer |
     if scores is not None:
         p = F.col("p")
         top, second = F.array_max(p), F.get(F.sort_array(p, asc=False), 1)
-        answer = scores.select("word", F.array_position(p, top).cast("int").alias("count"), top.alias("p"), (top - second).alias("margin"), policy.lowest_fuzziness(p).alias("accepted_from"))
+        answer = scores.select("word", F.array_position(p, top).cast("int").alias("count"), top.alias("best"), (top - second).alias("margin"), policy.lowest_fuzziness(p).alias("accepted_from"))
         each = routed.where("not hard").select(*KEY, F.posexplode("oov").alias("k", "word")).join(answer, "word", "left")
-        made = F.array_sort(F.collect_list(F.struct("k", F.struct("word", "count", "p", "margin", "accepted_from").alias("answer"))))
+        made = F.array_sort(F.collect_list(F.struct("k", F.struct("word", "count", F.col("best").alias("p"), "margin", "accepted_from").alias("answer"))))
         out = out.join(each.groupBy(*KEY).agg(F.transform(made, lambda x: x["answer"]).alias("answers")), KEY, "left")
         answers = F.col("answers")
     strict = at(float(steps[0]))

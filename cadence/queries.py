@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     """A table. With spread, for work that costs far more than reading, one too small to give each core a split is dealt to all cores; a larger one is not shuffled."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    small = spread and rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < cores * SPLIT_BYTES
+    small = spread and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SPLIT_BYTES
     return rows.repartition(cores) if small else rows
 
 
@@ -178,12 +178,11 @@ def diacritic_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", spread=True).select("doc_id", T.strip_marks(F.col("text")).alias("folded"))
 
 
-@query("select conv_id, turn, text as folded from conversations")
+@query("select conv_id, turn, replace(replace(text, ' ', chr(39) || ' one half  three quarters '), 'fi', 'fi') as folded from conversations")
 def unicode_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fold after decoration with an apostrophe, a fraction and full-width letters: what is left is checked to be the text."""
-    plain = F.concat("text", F.lit("’½ｗｏｒｄ"))
-    folded = T.nfkc(T.expand_fractions(T.fold_apostrophes(plain)))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(folded, "' one half word$", "").alias("folded"))
+    """Texts with an apostrophe and two fractions for each space, full-width letters and ligatures all through."""
+    marked = F.translate(F.replace(F.replace("text", F.lit(" "), F.lit("’½¾")), F.lit("fi"), F.lit("ﬁ")), "aeostBDR", "ａｅｏｓｔＢＤＲ")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.nfkc(T.expand_fractions(T.fold_apostrophes(marked))).alias("folded"))
 
 
 @query("with w as (select unnest(string_split_regex(text, '[[:space:]]+')) as w from documents) select regexp_replace(lower(w), '[^a-z]', '', 'g') as az, count(*) as n from w group by 1")
@@ -340,6 +339,50 @@ def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+# a special token after a word, of a kind that each event has in turn: what it is and what it says
+_SPECIAL = f"""with e as (select event_id, cast(event_id % 12 as integer) as k, cast(user_id % 1000 as bigint) as n, cast(1 + event_id % 28 as bigint) as d, cast(1 + event_id % 11 as bigint) as m from events),
+    w as (select *, {sql_cardinal('n')} as nw, {sql_cardinal('d')} as dw, {sql_cardinal('m')} as mw, {sql_cardinal('(n % 100)')} as aw from e),
+    special as (select event_id, k, case k when 0 then '$' || n || '.50' when 1 then 'user.' || n || '@mail.example.com' when 2 then '@user_' || n when 3 then '#' || n when 4 then '#GreatBigDay' || d when 5 then ':)' when 6 then 'w/o' when 7 then '&'
+        when 8 then m || '/' || d || '/2026' when 9 then m || ':30pm' when 10 then (n % 100) || '-' || d else 'www.example.com/' || n end as raw,
+    case k when 0 then 'number' when 1 then 'url' when 5 then 'emoji' when 7 then 'symbol' when 8 then 'date' when 9 then 'time' when 10 then 'ratio' when 11 then 'url' else 'word' end as kind,
+    case k when 0 then nw || case when n = 1 then ' dollar' else ' dollars' end || ' and fifty cents' when 1 then 'user dot ' || nw || ' at mail dot example dot com' when 2 then 'at user ' || nw when 3 then 'number ' || nw when 4 then 'great big day ' || dw
+        when 6 then 'without' when 7 then 'and' when 8 then {_MONTHS}[m] || ' ' || {sql_ordinal('dw')} || ' twenty twenty six' when 9 then mw || ' thirty p m' when 10 then aw || ' ' || dw when 11 then 'w w w dot example dot com' end as words,
+    case k when 0 then 'number' when 1 then 'spoken url' when 2 then 'mention' when 3 then 'number sign' when 4 then 'hashtag' when 5 then 'emoticon' when 6 then 'shorthand' when 7 then 'symbol' when 8 then 'date' when 9 then 'time' when 10 then 'ratio' else 'spoken url' end as note from w)"""
+
+
+def special_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, text): the lines that _SPECIAL has in SQL."""
+    e = table(spark, sf_dir, "events", spread=True).select("event_id", (F.col("event_id") % 12).alias("k"), (F.col("user_id") % 1000).alias("n"), (1 + F.col("event_id") % 28).alias("d"), (1 + F.col("event_id") % 11).alias("m"))
+    forms = ["concat('$', n, '.50')", "concat('user.', n, '@mail.example.com')", "concat('@user_', n)", "concat('#', n)", "concat('#GreatBigDay', d)", "':)'", "'w/o'", "'&'", "concat(m, '/', d, '/2026')", "concat(m, ':30pm')", "concat(n % 100, '-', d)", "concat('www.example.com/', n)"]
+    return e.select("event_id", F.expr("concat('cat ', case k " + " ".join(f"when {k} then {f}" for k, f in enumerate(forms)) + " end)").alias("text"))
+
+
+@query(_SPECIAL + " select event_id, 0 as pos, 'cat' as raw, 'word' as kind, null as words, '' as note from special union all select event_id, 1, raw, kind, words, note from special")
+def special_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scanner reads: amounts, addresses, links, mentions, number signs, hashtags, faces, short forms, symbols, dates, times and ratios."""
+    scanned = tokens.explode_tokens(tokens.tokenize(special_lines(spark, sf_dir), frozenset()).drop("text"))
+    return scanned.select("event_id", "pos", "raw", "kind", F.when(F.size("words") > 0, F.array_join("words", " ")).alias("words"), "note")
+
+
+_LEXICON_SQL = "lexicon(word, n) as (values " + ", ".join(f"('{w}', {n})" for w, n in SEED_LEXICON.items()) + ")"
+_SAID_SQL = _SPECIAL + f""", {_LEXICON_SQL}, {_TIER_SQL}, said as (select event_id, unnest(string_split(words, ' ')) as word from special where words is not null),
+    c as (select event_id, coalesce(l.n, t.n, case when regexp_matches(s.word, '^[a-z]{{2,6}}$') and not regexp_matches(s.word, '[aeiouy]') then length(s.word) + 2 * (length(s.word) - length(replace(s.word, 'w', ''))) end) as n from said s left join lexicon l on l.word = s.word left join tiers t on t.word = s.word),
+    sums as (select event_id, coalesce(sum(n), 0) as n, count(*) filter (n is null) as lost from c group by 1)"""
+
+
+@query(_SAID_SQL + " select s.event_id, cast(1 + coalesce(n, 0) as integer) as total, coalesce(lost, 0) > 0 as unsure from special s left join sums on sums.event_id = s.event_id")
+def special_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of lines with special tokens, by the words that these say."""
+    sums = api.analyze(special_lines(spark, sf_dir), key="event_id")
+    return sums.select("event_id", "total", (~F.col("confident")).alias("unsure"))
+
+
+@query(_SAID_SQL + " select s.event_id, cast(1 + coalesce(n, 0) as integer) as syllable_count from special s left join sums on sums.event_id = s.event_id where coalesce(lost, 0) = 0 and k <> 11")
+def special_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sure counts of the same lines: a link with a path is given up."""
+    return api.count_keys(special_lines(spark, sf_dir), key="event_id")
+
+
 @query("with w as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as w from conversations) select w as word, length(w) between 2 and 6 and not regexp_matches(w, '[aeiouy]') as spelled, cast(length(w) + 2 * (length(w) - length(replace(w, 'w', ''))) as integer) as letters from w")
 def letter_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "conversations", spread=True).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct()

@@ -131,20 +131,43 @@ def stem(word: Column) -> Column:
     return out
 
 
+def first_by(rows: DataFrame, order: Column, n: int) -> Column:
+    """Whether a row is among the first n by order, a struct whose first field is a hash h; exact, without sorting the rows.
+
+    The hashes' first 16 bits are counted, at most 65,536 of them, and only rows of the one value in which the n-th row lies are brought to the driver.
+    """
+    top = F.shiftright(order["h"], 48)
+    seen = 0
+    for r in rows.groupBy(top.alias("top")).count().orderBy("top").collect():
+        if seen + r["count"] <= n:
+            seen += r["count"]
+            continue
+        if n <= seen:
+            return top < r["top"]
+        last = rows.where(top == r["top"]).select(order.alias("o")).orderBy("o").limit(n - seen).collect()[-1]["o"]
+        return order <= F.struct(*(F.lit(v).alias(k) for k, v in last.asDict().items()))
+    return F.lit(n > 0)
+
+
 def split(lexicon: DataFrame, how: str = "random", seed: int = 0, validation: float = 0.05, test: float = 0.05) -> DataFrame:
-    """lexicon with part: train, val or test.
+    """lexicon, of distinct words, with part: train, val or test, of as many words as the shares of all words, rounded down.
 
-    random goes by a seeded hash of the word, hard by that of its stem, so that no stem is in two parts; source_oov tests on the words of
-    wikipron alone; all trains on everything. A hash needs no global order, so shares are met in the mean.
+    random goes by a seeded hash of the word, hard by that of its stem, so that stems are dealt whole but for those at a part's end; source_oov tests on
+    the words of wikipron alone; all trains on everything.
     """
     if how not in ("random", "hard", "source_oov", "all"):
         raise ValueError(f"unknown split {how!r}")
+    if how == "all":
+        return lexicon.withColumn("part", F.lit("train"))
     by = stem(F.col("word")) if how == "hard" else F.col("word")
-    u = F.pmod(F.xxhash64(by, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    dealt = F.when(u < test, "test").when(u < test + validation, "val").otherwise("train")
+    order = F.struct(F.xxhash64(by, F.lit(seed)).alias("h"), by.alias("by"), F.col("word").alias("word"))
+    n = lexicon.count()
+    n_test, n_val = int(n * test), int(n * validation)
     if how == "source_oov":
-        dealt = F.when(F.col("source") == "wikipron", "test").when(u < validation, "val").otherwise("train")
-    return lexicon.withColumn("part", F.lit("train") if how == "all" else dealt)
+        ours = F.coalesce(F.col("source") == "wikipron", F.lit(False))
+        val = first_by(lexicon.where(~ours), order, n_val)
+        return lexicon.withColumn("part", F.when(ours, "test").when(val, "val").otherwise("train"))
+    return lexicon.withColumn("part", F.when(first_by(lexicon, order, n_test), "test").when(first_by(lexicon, order, n_test + n_val), "val").otherwise("train"))
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,13 @@
+import json
+import math
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cadence.operators import policy, resolve, scan, scorer
+from cadence.operators import evaluate, policy, resolve, scan, scorer
 from cadence.operators.scalar import count_text, trace_text
 from cadence.plans import api
 from cadence.tables import SEED_LEXICON as LEXICON
@@ -79,6 +83,28 @@ def test_gate(spark):
     assert all(r["got"] == r["want"] for r in df.withColumn("got", policy.gate(F.col("p"), F.col("f"))).collect())
 
 
+def test_spelling_distances_by_hand(spark):
+    known = ["abcd", "abdc", "acbd", "bacd", "abcde", "abxd", "abcdefgh", "badcefgh", "abcdefhg", "bacdefgh", "xbcdefgh"]
+    pairs = [(a, b) for a in known for b in known if a != b]
+
+    def distance(a, b):
+        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if 0 in (i, j)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 < j and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    for word in known:
+        near = {b: distance(word, b) for a, b in pairs if a == word and (a[0] == b[0] or a[:2] == b[1::-1])}
+        near = {b: n for b, n in near.items() if n <= (2 if len(word) >= 8 else 1)}
+        best = [b for b, n in near.items() if n == min(near.values())]
+        others = spark.createDataFrame([(b, 1) for b in known if b != word], "word string, primary int")
+        got = [(r["corrected"], r["distance"]) for r in resolve.correct(spark.createDataFrame([(word,)], "word string"), others).collect()]
+        assert got == ([(best[0], near[best[0]])] if len(best) == 1 else []), word
+
+
 def test_spelling(spark):
     words = spark.createDataFrame([(w,) for w in ["definately", "teh", "borwn", "ca", "brwon", "xrown", "definitely", None]], "word string")
     known = spark.createDataFrame([(w, 1) for w in ["definitely", "brown", "born", "the", "crown", "bown"]], "word string, primary int")
@@ -109,6 +135,8 @@ def test_model_weights(spark, tmp_path):
     got = {r["word"]: r["p"] for r in scorer.npz_scorer(path)(words).collect()}
     assert got["日本"] is None and got[""] is None and abs(sum(got["cat"]) - 1) < 1e-6 and got["cat"] != got["banana"]
     assert scorer.forward(scorer.encode(["cat"]), weights)[0].tolist() == pytest.approx(got["cat"])
+    raw = {r["word"]: r["p"] for r in scorer.model_scorer(weights, raw=True)(words).collect()}
+    assert np.exp(raw["cat"]) / np.exp(raw["cat"]).sum() == pytest.approx(got["cat"])
     scorer.ALPHABET, kept = "zyx", scorer.ALPHABET
     try:
         with pytest.raises(ValueError):
@@ -117,6 +145,70 @@ def test_model_weights(spark, tmp_path):
         scorer.ALPHABET = kept
 
 
+def by_hand(word, w):
+    """The network letter by letter and unit by unit."""
+    dot = lambda a, m, k: sum(x * m[i][k] for i, x in enumerate(a))
+    letters = [ord(c) - 96 for c in word.lower() if "a" <= c <= "z"][:24]
+    e = [w["emb"][c] for c in letters]
+    zero = [0.0] * len(w["emb"][0])
+    # positions behind the word are padding: they are seen by the convolution, and by nothing after it
+    at = lambda i: e[i] if 0 <= i < len(e) else zero
+    x = []
+    for i in range(len(e)):
+        row = []
+        for width in (2, 3):
+            k, b = w[f"convs.{width}.w"], w[f"convs.{width}.b"]
+            row += [max(0.0, b[f] + sum(at(i + j - (width - 1) // 2)[d] * k[j][d][f] for j in range(width) for d in range(len(zero)))) for f in range(len(b))]
+        x.append(row)
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def recur(rows, side):
+        u, v, b, h = w[f"{side}.U"], w[f"{side}.W"], w[f"{side}.b"], list(w[f"{side}.h0"])
+        out = []
+        for r in rows:
+            n = len(h)
+            z = [sig(dot(r, v, k) + dot(h, u, k) + b[k]) for k in range(n)]
+            reset = [sig(dot(r, v, k) + dot(h, u, k) + b[k]) for k in range(n, 2 * n)]
+            new = [math.tanh(dot(r, v, 2 * n + k) + reset[k] * dot(h, u, 2 * n + k) + b[2 * n + k]) for k in range(n)]
+            h = [(1 - z[k]) * new[k] + z[k] * h[k] for k in range(n)]
+            out.append(h)
+        return out
+
+    both = [f + g for f, g in zip(recur(x, "gru_f"), recur(x[::-1], "gru_b")[::-1])]
+    mean = [sum(r[k] for r in both) / len(both) for k in range(len(both[0]))]
+    hidden = [max(0.0, dot(mean, w["W1"], k) + w["b1"][k]) for k in range(len(w["b1"]))]
+    return [dot(hidden, w["W2"], k) + w["b2"][k] for k in range(8)]
+
+
+def test_the_network_by_hand():
+    r = np.random.default_rng(8)
+    w = {n: (0.5 * r.standard_normal(s)) for n, s in scorer.shapes(emb=3, filters=4, gru=3, head=5)}
+    for word in ("cat", "a", "It's", "zyx" * 11):
+        assert scorer.logits(scorer.encode([word]), w)[0] == pytest.approx(by_hand(word, w), abs=1e-9)
+
+
+def test_published_capacities_and_files(tmp_path):
+    sizes = {name: sum(int(np.prod(s)) for _, s in scorer.shapes(*c)) for name, c in evaluate.CAPACITY.items()}
+    assert {k: sizes[k] for k in ("s44k", "s22k", "s7k", "s4k", "s2k")} == {"s44k": 43920, "s22k": 21528, "s7k": 7372, "s4k": 4382, "s2k": 2176}
+    assert sizes["small"] == sizes["s44k"] < sizes["medium"] and {c for c, _ in evaluate.RUNS.values()} <= set(sizes)
+    # a file as others write it: nested keys as paths, capacities by their long names, those of the greater model by default
+    path, shapes = str(tmp_path / "other.npz"), scorer.shapes(24, (2, 3), 32, 48, 64)
+    paths = ["['W1']", "['W2']", "['b1']", "['b2']", "['convs'][2]['b']", "['convs'][2]['w']", "['convs'][3]['b']", "['convs'][3]['w']", "['emb']", *(f"['gru_{s}']['{k}']" for s in "bf" for k in ("U", "W", "b", "h0"))]
+    meta = {"format_version": 1, "alphabet": scorer.ALPHABET, "num_classes": 8, "max_len": 24, "caps": {"embed_dim": 24, "conv_widths": [2, 3]}, "param_paths": paths, "param_shapes": [list(s) for _, s in shapes], "provenance": {}}
+    arrays = {f"p{k}": np.full(s, k, np.float32) for k, (_, s) in enumerate(shapes)}
+    np.savez(path, meta=np.array(json.dumps(meta)), **arrays)
+    got = scorer.load_weights(path)
+    assert got["emb"].shape == (27, 24) and (got["gru_f.h0"] == 16).all()
+    for change in ({"param_paths": paths[::-1]}, {"caps": {"emb": 3}}, {"caps": {"embed_dim": 23}}, {"max_len": 9}):
+        np.savez(path, meta=np.array(json.dumps(meta | change)), **arrays)
+        with pytest.raises(ValueError):
+            scorer.load_weights(path)
+    with pytest.raises(ValueError):
+        evaluate.check_run(True, "all")
+    evaluate.check_run(True, "hard")
+    evaluate.check_run(False, "all")
+
+
 def test_registered_functions(spark):
     api.register(spark)
     assert spark.sql("select syllable_count('nine cats') as n, syllable_count('lol') as m").first() == (2, None)

@@ -56,8 +56,16 @@ def test_reconcile_split_and_files(spark, tmp_path):
     assert {r["word"]: r["part"] for r in L.split(out, "source_oov").collect()}["new"] == "test"
     words = spark.range(4000).select(F.concat(F.lit("run"), F.conv(F.col("id").cast("string"), 10, 26), F.when(F.col("id") % 2 == 0, "ing").otherwise("")).alias("word"), F.lit("cmu").alias("source"))
     parts = L.split(words, "hard").withColumn("stem", L.stem(F.col("word")))
-    assert parts.groupBy("stem").agg(F.countDistinct("part").alias("n")).where("n > 1").isEmpty()
-    assert {r["part"] for r in parts.select("part").distinct().collect()} == {"train", "val", "test"}
+    assert parts.groupBy("stem").agg(F.countDistinct("part").alias("n")).where("n > 1").count() <= 2  # those at a part's end
+    for how in ("hard", "random"):
+        assert {r["part"]: r["count"] for r in L.split(words, how, 7, 0.03, 0.111).groupBy("part").count().collect()} == {"test": 444, "val": 120, "train": 3436}
+    mixed = words.withColumn("source", F.when(F.col("word").contains("A"), "wikipron").otherwise("cmu"))
+    n = mixed.where("source = 'wikipron'").count()
+    got = L.split(mixed, "source_oov", 1, 0.05)
+    assert {(r["part"], r["source"]): r["count"] for r in got.groupBy("part", "source").count().collect()} == {("test", "wikipron"): n, ("val", "cmu"): 200, ("train", "cmu"): 3800 - n}
+    assert {r["part"] for r in L.split(words, "all").select("part").distinct().collect()} == {"train"}
+    few = words.limit(7)
+    assert {r["part"]: r["count"] for r in L.split(few, "random", 0, 0.2, 0.3).groupBy("part").count().collect()} == {"test": 2, "val": 1, "train": 4}
 
 
 def test_stem(spark):
@@ -99,3 +107,22 @@ def test_post_stream(spark, tmp_path):
     query = counted.writeStream.foreachBatch(posts.every_nth_miss(out.extend, 1)).trigger(availableNow=True).start()
     posts.run_for(query, 60)
     assert sorted(out) == ["five cats in the house"] * 2 + ["lol"]
+
+
+def test_samples_and_limits(spark, tmp_path):
+    rows = [("five cats", 5) if k % 10 == 3 else (f"miss {k}", None if k % 2 else 2) for k in range(100)]
+    out = []
+    emit = posts.every_nth_miss(out.extend, 25)
+    for lo in range(0, 100, 20):
+        emit(spark.createDataFrame(rows[lo : lo + 20], "text string, syllable_count int").repartition(1), 0)
+    misses = [t for t, n in rows if n != 5]
+    assert sorted(x for x in out if x.startswith("miss")) == sorted(misses[24::25]) and out.count("five cats") == 10
+    for k in range(4):
+        (tmp_path / f"{k}.json").write_text("\n".join(json.dumps({"action": "create", "path": str(i)}) for i in range(10)))
+    seen = []
+    first = posts.FirstRows(lambda batch, _: seen.append(batch.count()), 25)
+    query = posts.read_posts(spark, str(tmp_path), 1).writeStream.foreachBatch(first).start()
+    posts.run_for(query, 60, first.done)
+    assert sum(seen) == 25 and first.done() and not query.isActive
+    with pytest.raises(ImportError, match="read_posts"):
+        posts.live_client("no_such_client_here")
