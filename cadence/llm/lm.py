@@ -25,10 +25,10 @@ HELD_OUT, ROUNDS, BUCKETS = 50, 12, 24
 #: Most words that are told apart as 1-grams: the most frequent. All others together are one class, within which they are equally likely; in longer n-grams they are told apart by 31 bits.
 VOCABULARY = 1 << 20
 #: Events of a part, about; words of more than half of it are spread.
-PART = 2_000_000
+PART = 1_000_000
 #: Held-out events are told apart by their estimates in half powers of two, so that there are at most BUCKETS * 64**3 kinds, whatever the corpus.
 STEP, LEVELS = 2, 64
-_FLUSH, _ROWS, _BLOCK, _RARE = 1 << 21, 1 << 15, 12, np.uint32(1 << 31)
+_FLUSH, _ROWS, _BLOCK, _RARE = 1 << 20, 1 << 15, 12, np.uint32(1 << 31)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -156,7 +156,7 @@ def _events(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             v, u, w, row = (np.concatenate([p[k] for p in pieces]) for k in range(4))
             spread = model.spread(v)
             part = model.part(v, np.where(spread > 1, mix(w.astype(np.uint64)).astype(np.int64) & 0x7FFFFFFF, 0) % spread)
-            order = np.argsort(part << 32 | v.astype(np.int64), kind="stable")
+            order = np.argsort(part << 32 | v.astype(np.int64))
             cuts = np.flatnonzero(np.diff(part[order])) + 1
             for s in np.split(order, cuts):
                 out.append((int(part[s[0]]), 0, base, _packed(np.diff(v[s], prepend=np.uint32(0)), u[s], w[s], row[s])))
@@ -222,67 +222,100 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.cumsum(first) - 1
 
 
-class Tally:
-    """All events of a part and the counts that they need: n3, d3, n2, d2 of all rows and, with _train, of train rows."""
+def _counts(key: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """How often the key of each place occurs; order, if given, brings equal keys together."""
+    order = np.argsort(key) if order is None else order
+    start, run = _runs(key[order])
+    out = np.empty(len(key), np.int64)
+    out[order] = np.diff(np.append(start, len(key)))[run]
+    return out
+
+
+def _occurring(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The place of each key among sorted known ones, -1 for others."""
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    return np.where(known[at] == key, at, -1)
+
+
+class Events:
+    """The events of a part: words u, v before w, the row, whether it is held out; and counts of (v, u) of middle words that are spread."""
 
     def __init__(self, table: pa.Table, model: Model) -> None:
-        v, u, w, row, base, pairs = [], [], [], [], [], []
+        parts, self.pairs = [], []
         for kind, at, blob in zip(table["kind"].to_pylist(), table["base"].to_pylist(), table["blob"].to_pylist()):
             if kind == 0:
-                dv, *rest = _unpacked(blob, "<u4", "<u4", "<u4", "<u2")
-                v.append(np.cumsum(dv, dtype=np.uint32))
-                for to, x in zip((u, w, row), rest):
-                    to.append(x)
-                base.append(np.full(len(dv), at))
+                dv, u, w, row = _unpacked(blob, "<u4", "<u4", "<u4", "<u2")
+                parts.append((np.cumsum(dv, dtype=np.uint32).astype(np.uint64) << np.uint64(32) | u, w, (row & np.uint16(_ROWS - 1)).astype(np.int64) + at, row >= _ROWS))
             elif kind == 1:
-                pairs.append(_unpacked(blob, "<u8", "<u4", "<u4"))
-        self.empty = not v
-        if self.empty:
-            return
-        v, u, w, row, base = map(np.concatenate, (v, u, w, row, base))
-        key = v.astype(np.uint64) << np.uint64(32) | u
-        order = np.lexsort((w, key))
-        key, v, self.w, row, base = key[order], v[order], w[order], row[order], base[order]
-        self.held = row >= _ROWS
-        self.row = base + (row & (_ROWS - 1))
-        train = (~self.held).astype(np.int64)
-
-        def counts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            start, run = _runs(*keys)
-            return np.diff(np.append(start, len(v)))[run], np.add.reduceat(train, start)[run]
-
-        self.n3, self.n3_train = counts(key, self.w)
-        self.d3, self.d3_train = counts(key)
-        self.d2, self.d2_train = counts(v)
-        other = v.astype(np.uint64) << np.uint64(32) | self.w
-        by = np.argsort(other)
-        start, run = _runs(other[by])
-        self.n2, self.n2_train = np.empty_like(self.n3), np.empty_like(self.n3)
-        self.n2[by], self.n2_train[by] = np.diff(np.append(start, len(by)))[run], np.add.reduceat(train[by], start)[run]
-        hot = np.flatnonzero(model.spread(v) > 1)
-        if len(hot):
-            pair, n, t = (np.concatenate([p[k] for p in pairs]) for k in range(3))
-            pair, at = np.unique(pair, return_inverse=True)
-            n, t = (np.bincount(at, x, len(pair)).astype(np.int64) for x in (n, t))
-            found = np.searchsorted(pair, key[hot])
-            self.d3[hot], self.d3_train[hot] = n[found], t[found]
-            start, run = _runs(pair >> np.uint64(32))
-            found = run[found]
-            self.d2[hot], self.d2_train[hot] = np.add.reduceat(n, start)[found], np.add.reduceat(t, start)[found]
-
-
-def held_kinds(tally: Tally, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Kinds of held-out events and how often they occur: bucket and levels of the three estimates under train counts."""
-    at = np.flatnonzero(tally.held)
-    p = [model.single(tally.w[at], False), _ratio(tally.n2_train[at], tally.d2_train[at]), _ratio(tally.n3_train[at], tally.d3_train[at])]
+                self.pairs.append(_unpacked(blob, "<u8", "<u4", "<u4"))
+        self.empty = not parts
+        if not self.empty:
+            self.context, self.w, self.row, self.held = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            del parts
+            self.hot = np.flatnonzero(model.spread(self.v()) > 1)
+
+    def v(self) -> np.ndarray:
+        return (self.context >> np.uint64(32)).astype(np.uint32)
+
+    def gram2(self) -> np.ndarray:
+        return self.context & np.uint64(0xFFFFFFFF00000000) | self.w
+
+    def gram3(self) -> np.ndarray:
+        return mix(self.context * np.uint64(0x9E3779B97F4A7C15) ^ mix(self.w.astype(np.uint64)))
+
+    def of_spread(self, train: bool) -> tuple[np.ndarray, np.ndarray]:
+        """d3 and d2 of the events whose middle words are spread."""
+        pair, n = (np.concatenate([p[k] for p in self.pairs]) for k in (0, 1 + train))
+        pair, at = np.unique(pair, return_inverse=True)
+        n = np.bincount(at, n, len(pair)).astype(np.int64)
+        found = np.searchsorted(pair, self.context[self.hot])
+        start, run = _runs(pair >> np.uint64(32))
+        return n[found], np.add.reduceat(n, start)[run[found]]
+
+
+def held_kinds(events: Events, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of held-out events and how often they occur: bucket and levels of the three estimates under train counts.
+
+    Train events are only counted where a held-out one asks for them.
+    """
+    at = np.flatnonzero(events.held)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    got = []
+    # a 3-gram is looked for where its context is asked for, so of most events only the first keys are made
+    some = np.flatnonzero(~events.held)
+    for key in (events.v().astype(np.uint64), events.context, events.gram3()):
+        asked = np.unique(key[at])
+        found = _occurring(asked, key[some])
+        some = some[found >= 0]
+        got.append(np.bincount(found[found >= 0], minlength=len(asked))[np.searchsorted(asked, key[at])])
+    key = events.gram2()
+    asked = np.unique(key[at])
+    found = _occurring(asked, key[~events.held])
+    n2 = np.bincount(found[found >= 0], minlength=len(asked))[np.searchsorted(asked, key[at])]
+    d2, d3, n3 = got
+    if len(events.hot):
+        place = np.full(len(events.w), -1)
+        place[at] = np.arange(len(at))
+        own = place[events.hot]
+        h3, h2 = events.of_spread(True)
+        d3[own[own >= 0]], d2[own[own >= 0]] = h3[own >= 0], h2[own >= 0]
+    p = [model.single(events.w[at], False), _ratio(n2, d2), _ratio(n3, d3)]
     level = [np.where(x > 0, 1 + np.minimum(LEVELS - 2, np.round(-np.log2(np.maximum(x, 1e-300)) * STEP)), 0).astype(np.int64) for x in p]
-    return np.unique(_bucket(tally.d3_train[at]) << 18 | level[2] << 12 | level[1] << 6 | level[0], return_counts=True)
+    return np.unique(_bucket(d3) << 18 | level[2] << 12 | level[1] << 6 | level[0], return_counts=True)
 
 
-def log2_probabilities(tally: Tally, model: Model, weights: np.ndarray) -> np.ndarray:
-    """Of each event, deleted from the counts."""
-    w = weights[_bucket(tally.d3 - 1)]
-    return np.log2(w[:, 0] * model.uniform + w[:, 1] * model.single(tally.w, True) + w[:, 2] * _ratio(tally.n2 - 1, tally.d2 - 1) + w[:, 3] * _ratio(tally.n3 - 1, tally.d3 - 1))
+def log2_probabilities(events: Events, model: Model, weights: np.ndarray) -> np.ndarray:
+    """Of each event, deleted from the counts of all rows."""
+    order = np.argsort(events.context)
+    d3, d2 = _counts(events.context, order), _counts(events.v(), order)
+    if len(events.hot):
+        d3[events.hot], d2[events.hot] = events.of_spread(False)
+    w = weights[_bucket(d3 - 1)]
+    p = w[:, 0] * model.uniform + w[:, 1] * model.single(events.w, True)
+    p += w[:, 2] * _ratio(_counts(events.gram2()) - 1, d2 - 1)
+    p += w[:, 3] * _ratio(_counts(events.gram3()) - 1, d3 - 1)
+    return np.log2(p)
 
 
 def fit_words(texts: DataFrame, vocabulary: int = VOCABULARY, part: int = PART) -> Model:
@@ -316,8 +349,8 @@ def score(docs: DataFrame, held_out: int = HELD_OUT, rounds: int = ROUNDS, vocab
     packed = texts.mapInArrow(lambda batches: _events(model(), batches), "part int, kind int, base long, blob binary").repartition("part")
 
     def kinds(table: pa.Table) -> pa.Table:
-        tally = Tally(table, model())
-        kind, n = (np.zeros(0, np.int64),) * 2 if tally.empty else held_kinds(tally, model())
+        events = Events(table, model())
+        kind, n = (np.zeros(0, np.int64),) * 2 if events.empty else held_kinds(events, model())
         return pa.table({"kind": kind, "n": n})
 
     def learn(table: pa.Table) -> pa.Table:
@@ -331,11 +364,11 @@ def score(docs: DataFrame, held_out: int = HELD_OUT, rounds: int = ROUNDS, vocab
     def sums(table: pa.Table) -> pa.Table:
         """(block, blob): sums for the rows of each block, and the rows that there are."""
         rows = [(at, 1, blob) for kind, at, blob in zip(table["kind"].to_pylist(), table["base"].to_pylist(), table["blob"].to_pylist()) if kind == 2]
-        tally = Tally(table, model())
-        if not tally.empty:
+        events = Events(table, model())
+        if not events.empty:
             w = table["weights"][0].as_py()
-            p = log2_probabilities(tally, model(), np.array(w).reshape(BUCKETS, 4) if w else np.full((BUCKETS, 4), 0.25))
-            row, at = np.unique(tally.row, return_inverse=True)
+            p = log2_probabilities(events, model(), np.array(w).reshape(BUCKETS, 4) if w else np.full((BUCKETS, 4), 0.25))
+            row, at = np.unique(events.row, return_inverse=True)
             total = np.bincount(at, p, len(row)).astype(np.float32)
             for s in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row >> _BLOCK)) + 1):
                 rows.append((int(row[s[0]] >> _BLOCK), 0, _packed((row[s] & (1 << _BLOCK) - 1).astype(np.uint16), total[s])))
