@@ -60,3 +60,21 @@ def test_rare_sections_and_deep_paths(spark):
     got = {r["page_id"]: (r["template"], r["rejected"]) for r in urltree.url_templates(*tables(spark, pages, labels)).collect()}
     assert got[7] == ("/s7/*", True) and got[8][1] is False
     assert got[3001] == ("/a/b/c/d/e/f/bad/*", True) and got[3000] == ("/a/b/c/d/e/f/good/*", False)
+
+
+def test_branches_that_are_alike_are_merged(spark):
+    # four bad sections and two half bad ones among good ones; sections of equal shares lie by name, and ties at the threshold are rejected
+    kinds = ["bad1", "bad2", "bad3", "bad4", "half1", "half2", *(f"good{k}" for k in range(12))]
+    pages = [(i, f"http://x.example/{kinds[i % 18]}/{i}") for i in range(1800)]
+    labels = [(i, int(kinds[i % 18][0] == "g" or kinds[i % 18][0] == "h" and i // 18 % 2), 0) for i in range(1800)]
+    got = {r["page_id"]: (r["template"], r["n_pages"], r["rejected"]) for r in urltree.url_templates(*tables(spark, pages, labels)).collect()}
+    assert {got[i] for i in range(1800) if kinds[i % 18].startswith("bad")} == {("/{bad1|bad4|4}/*", 400, True)}
+    assert {got[i][:2] for i in range(1800) if kinds[i % 18].startswith("half")} == {("/{half1|half2|2}/*", 200)}
+    assert not any(got[i][2] for i in range(1800) if kinds[i % 18].startswith("good"))
+
+
+def test_a_share_at_the_threshold_is_rejected(spark):
+    pages = [(i, f"http://t.example/only/{i}") for i in range(8)]
+    labels = [(i, i % 2, 0) for i in range(8)]
+    got = {r["page_id"]: (r["bad_share"], r["rejected"]) for r in urltree.url_templates(*tables(spark, pages, labels)).collect()}
+    assert set(got.values()) == {(0.5, True)}
