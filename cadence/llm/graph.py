@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cadence.llm.session import cut
+from cadence.llm.session import cut, drop
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,14 +22,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    seen = None
+    seen, last = None, e
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.withColumn("m", F.least("u", F.min("v").over(W.partitionBy("u"))))
         e = low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = e.withColumn("m", F.min("v").over(W.partitionBy("u")))
         e = low.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(e)
+        before, e = last, cut(e)
+        drop(before)
+        last = e
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if now == seen or now[0] == 0 or now[0] == now[2] and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break

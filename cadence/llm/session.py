@@ -29,28 +29,41 @@ def shared_folder(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "cadence-checkpoints")
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+
+
+def _delete(path: str) -> None:
+    context = _written.pop(path).sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(path)
         except Exception:  # the session has ended: the folder is the cluster's to clean
             return
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written as a table to the shared folder and read from there on; the tables go when Python ends."""
+    """df written as a table to the shared folder and read from there on; the table goes with drop(), or when Python ends."""
     spark = df.sparkSession
     if not _written:
         atexit.register(_clean)
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the tables of results of cut() that nothing reads any more."""
+    for table in tables:
+        if table.cut_path in _written:
+            _delete(table.cut_path)
 
 
 def share(spark: SparkSession, value: Any) -> Callable[[], Any]:

@@ -15,11 +15,11 @@ def words(text):
 
 def prose(seed, n, vocabulary=4000):
     r = random.Random(seed)
-    syllables = "ka lo mi ter on da re shu vel or ant ti que ba".split()
+    sounds = "ka lo mi ter on da re shu vel or ant ti que ba".split()
     out = []
     for _ in range(n):
         k = int(vocabulary * r.random() ** 2)
-        w = "".join(syllables[(k // 14**i) % 14] for i in range(1 + (k > 13) + (k > 195)))
+        w = "".join(sounds[(k // 14**i) % 14] for i in range(1 + (k > 13) + (k > 195)))
         out.append(w)
     return out
 
