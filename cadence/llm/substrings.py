@@ -2,11 +2,11 @@
 
 A span of at least `least` words that occurs earlier, in an earlier document by doc_id or earlier in its own, is removed. All
 documents are the reference, so it is sharded: of each window of `least` words the word 5-gram of the smallest hash is the
-anchor, the same in every place where the window occurs, and a shard is what surrounds the places of one anchor. Only shards with two places or more
-are built. Within a shard the places are streamed in order through the suffix automaton of those before; the matching statistics
-give the maximal spans, and what is new is added to the automaton. A window's places all lie in one shard, so the result
-is exact. Shards of more than `hot` places, whose automaton could outgrow a task, are settled by hashes of their windows instead, with
-the same result.
+anchor, the same in every place where the window occurs, and a shard is what surrounds the places of one anchor. Places with equal surroundings are one kind,
+of which all but the first are settled by that; of an anchor with several kinds the first places are streamed in order through the suffix automaton of
+those before. The matching statistics give the maximal spans, and what is new is added to the automaton. A window's places all lie in one shard, so the result
+is exact. An anchor of more than `hot` kinds, whose automaton could outgrow a task, is made longer: the windows around a place are parted by where the anchor lies in them,
+and all words that those of a part share are its anchor. At last a part has one window, and the anchor is all of it, so that there is one kind.
 """
 
 from __future__ import annotations
@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cadence.llm.session import cut, with_ids
+from cadence.llm.session import cut, drop, with_ids
 from cadence.llm.textkernel import Hasher, Words, mix, slices
 
 LEAST, GRAM, HOT = 50, 5, 2000
+#: Into how many parts the windows of a place of too common an anchor are parted.
+PARTS = 4
 #: Most places of anchors, and documents with spans, that are broadcast.
 BROADCAST_PLACES, BROADCAST_DOCS = 200_000, 100_000
+_PLACES = "doc_id long, pos int, lo int, hi int, anchor long, kind long, start int, size int"
 
 
 def anchors(words: Words, least: int = LEAST) -> np.ndarray:
@@ -109,7 +112,36 @@ class Automaton:
         return out
 
 
+class _Spans:
+    """Hashes of spans of words."""
+
+    def __init__(self, hasher: Hasher, words: Words) -> None:
+        hasher.grow(len(words.hash) + 1)
+        self.hasher, self.total = hasher, np.zeros(len(words.hash) + 1, np.uint64)
+        np.cumsum(mix(words.hash + np.uint64(23)) * hasher.up[: len(words.hash)], out=self.total[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.hasher.spans(self.total, start, end)
+
+
+def _around(words: Words, row: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, some): the words of all windows of the row in which the word `at` is the lo-th to hi-th, hi left out; some: whether there are any."""
+    start = np.maximum(words.bounds[row], at - hi + 1)
+    last = np.minimum(words.bounds[row + 1] - least, at - lo)
+    return start, last + least, last >= start
+
+
+def _rows_of(ids: pa.Array, row: np.ndarray, words: Words, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, spans: _Spans, least: int) -> pa.RecordBatch:
+    start, end, some = _around(words, row, at, lo, hi, least)
+    start, end, row, at, lo, hi, anchor = (x[some] for x in (start, end, row, at, lo, hi, anchor))
+    first = words.bounds[row]
+    ints = lambda x: pa.array(x.astype(np.int32))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), ints(at - first), ints(lo), ints(hi), pa.array(anchor.view(np.int64)), pa.array(spans(start, end).view(np.int64)), ints(start - first), ints(end - start)], names=["doc_id", "pos", "lo", "hi", "anchor", "kind", "start", "size"])
+
+
 def _places(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, pos, lo, hi, anchor, kind, start, size): each place of an anchor, at word pos, and what surrounds it: size words from start on, whose hash is kind."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
@@ -117,18 +149,18 @@ def _places(docs: DataFrame, least: int) -> DataFrame:
                 words = hasher.words(data, offsets)
                 at, h = anchors(words, least)
                 row = np.searchsorted(words.bounds, at, "right") - 1
-                ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((at - words.bounds[row]).astype(np.int32)), pa.array(h.view(np.int64))], names=["doc_id", "pos", "anchor"])
+                every = np.zeros(len(at), np.int64)
+                yield _rows_of(batch.column("doc_id").slice(lo, hi - lo), row, words, at, every, every + least - GRAM + 1, h, _Spans(hasher, words), least)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, pos int, anchor long")
+    return _texts(docs).mapInArrow(run, _PLACES)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
 
 
-def _surroundings(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """(anchor, hot, doc_id, start, words): all windows around each place; start is the word that they begin with."""
+def _at_places(docs: DataFrame, found: DataFrame, spec: str, rows) -> DataFrame:
+    """What rows(ids, row, words, at, lo, hi, anchor, hasher) makes of the places that found has for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -138,30 +170,51 @@ def _surroundings(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
                 places = batch.column("places").slice(lo, hi - lo)
                 flat = places.flatten()
                 row = np.repeat(np.arange(hi - lo), pc.list_value_length(places).to_numpy(zero_copy_only=False))
-                pos = flat.field("pos").to_numpy() + words.bounds[row]
-                a = np.maximum(words.bounds[row], pos - (least - GRAM))
-                b = np.minimum(words.bounds[row + 1], pos + least)
+                at = flat.field("pos").to_numpy() + words.bounds[row]
                 # a row that repeats an id with another text has not all the places
-                ok = b > a
-                a, b, row = a[ok], b[ok], row[ok]
-                ids = (words.hash >> np.uint64(33)).astype(np.int32)
-                size = b - a
-                ends = np.cumsum(size)
-                pick = np.repeat(a - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-                raw = ids[pick].tobytes()
-                cuts = np.concatenate([[0], ends]) * 4
-                keep = pa.array(np.flatnonzero(ok))
-                for s in range(0, len(a), 20_000):
-                    t = min(len(a), s + 20_000)
-                    part = keep.slice(s, t - s)
-                    yield pa.RecordBatch.from_arrays(
-                        [flat.field("anchor").take(part), flat.field("hot").take(part), batch.column("doc_id").slice(lo, hi - lo).take(pa.array(row[s:t])), pa.array((a[s:t] - words.bounds[row[s:t]]).astype(np.int32)), pa.array([raw[i:j] for i, j in zip(cuts[s:t], cuts[s + 1 : t + 1])], pa.binary())],
-                        names=["anchor", "hot", "doc_id", "start", "words"],
-                    )
+                ok = at < words.bounds[row + 1]
+                yield from rows(batch.column("doc_id").slice(lo, hi - lo), row[ok], words, at[ok], *(flat.field(c).to_numpy()[ok] for c in ("lo", "hi", "anchor")), hasher)
 
     few = (found.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
-    rows = _texts(docs).join(F.broadcast(found) if few else found, "doc_id")
-    return rows.select("doc_id", "text", "places").mapInArrow(run, "anchor long, hot boolean, doc_id long, start int, words binary")
+    return _texts(docs).join(F.broadcast(found) if few else found, "doc_id").select("doc_id", "text", "places").mapInArrow(run, spec)
+
+
+def _surroundings(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """(anchor, doc_id, start, words): the words around each place."""
+
+    def rows(ids: pa.Array, row, words: Words, at, lo, hi, anchor, hasher: Hasher) -> Iterator[pa.RecordBatch]:
+        a, b, some = _around(words, row, at, lo, hi, least)
+        a, b, row, anchor = a[some], b[some], row[some], anchor[some]
+        names = (words.hash >> np.uint64(33)).astype(np.int32)
+        for s in range(0, len(a), 20_000):
+            t = min(len(a), s + 20_000)
+            size = b[s:t] - a[s:t]
+            ends = np.cumsum(size)
+            raw = names[np.repeat(a[s:t] - (ends - size), size) + np.arange(ends[-1])].tobytes()
+            cuts = (np.concatenate([[0], ends]) * 4).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor[s:t]), ids.take(pa.array(row[s:t])), pa.array((a[s:t] - words.bounds[row[s:t]]).astype(np.int32)), pa.array([raw[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary())],
+                names=["anchor", "doc_id", "start", "words"],
+            )
+
+    return _at_places(docs, found, "anchor long, doc_id long, start int, words binary", rows)
+
+
+def _longer(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """Places as _places() has them with longer anchors, PARTS or fewer for each place."""
+
+    def rows(ids: pa.Array, row, words: Words, at, lo, hi, anchor, hasher: Hasher) -> Iterator[pa.RecordBatch]:
+        spans = _Spans(hasher, words)
+        step = -(-(hi - lo) // PARTS)
+        for k in range(PARTS):
+            a, b = lo + k * step, np.minimum(hi, lo + (k + 1) * step)
+            some = (a < b) & _around(words, row, at, a, np.maximum(b, a + 1), least)[2]
+            x, y, w = a[some], b[some], at[some]
+            # what all windows of the part share
+            longer = mix(spans(w - x, w - y + 1 + least) ^ mix(anchor[some].view(np.uint64) + x.astype(np.uint64)))
+            yield _rows_of(ids, row[some], words, w, x, y, longer, spans, least)
+
+    return _at_places(docs, found, _PLACES, rows)
 
 
 class Shard:
@@ -204,20 +257,16 @@ class Shard:
 
 
 def _stream(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by anchor, and within it by doc_id and start. Spans s to e of cold shards; windows at s, with h, of hot ones."""
+    """Rows come by anchor, and within it by doc_id and start. The spans (doc_id, s, e)."""
     anchor = doc = shard = None
     regions: list[tuple[int, bytes]] = []
 
     def spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32()))]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), *columns], names=["h", "doc_id", "s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "s", "e"])
 
     for batch in batches:
-        hot = batch.column("hot")
-        yield from _windows(batch.filter(hot), least)
-        cold = batch.filter(pc.invert(hot))
         rows: list[tuple[int, int, int]] = []
-        for a, d, start, raw in zip(*(cold.column(c).to_pylist() for c in ("anchor", "doc_id", "start", "words"))):
+        for a, d, start, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "start", "words"))):
             if a != anchor or d != doc:
                 if shard:
                     rows += [(doc, s, e) for s, e in shard.document(regions)]
@@ -231,48 +280,46 @@ def _stream(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield spans(rows)
 
 
-def _windows(rows: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
-    """Hashes of all windows of each place."""
-    base = np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, rows.num_rows, 2000):
-        part = rows.slice(at, 2000)
-        blobs = part.column("words").to_pylist()
-        size = np.array([len(x) // 4 for x in blobs])
-        x = np.frombuffer(b"".join(blobs), np.int32)
-        if len(x) < least:
-            continue
-        h = np.zeros(len(x) - least + 1, np.uint64)
-        mixed = mix(x.astype(np.uint64) + np.uint64(17))
-        for k in range(least):
-            h = h * base + mixed[k : k + len(h)]
-        ends = np.cumsum(size)
-        row = np.searchsorted(ends, np.arange(len(h)), "right")
-        ok = np.arange(len(h)) + least <= ends[row]
-        place, row = np.arange(len(h))[ok], row[ok]
-        start = part.column("start").to_numpy()[row] + place - (ends - size)[row]
-        begin = pa.array(start.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(mix(h[ok]).view(np.int64)), part.column("doc_id").take(pa.array(row)), begin, pc.add(begin, pa.scalar(least, pa.int32()))], names=["h", "doc_id", "s", "e"])
-
-
 def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word): the maximal spans to remove; end_word is the word after.
 
     Words are numbered from 0 within a document; case and punctuation don't count. Spans that touch or overlap are one. Null, empty and short texts,
-    and rows with a null id, have none. Rows that repeat an id with the same text count once; with other texts, they share
-    their words' numbers.
+    and rows with a null id, have none; a text of any length is read whole, and must fit a worker. Rows that repeat an id with the same text count once; with other texts, they share
+    their words' numbers. Of equal places the one of the lower doc_id and word is first. Other columns are not read.
     """
-    places = cut(_places(docs, least).distinct())
-    often = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))
-    found = places.join(often, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor", "hot")).alias("places"))
-    around = _surroundings(docs, cut(found), least).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    got = cut(around.mapInArrow(lambda batches: _stream(batches, least), "h long, doc_id long, s int, e int"))
-    windows = got.where("h is not null").select("h", "doc_id", "s", "e").distinct()
-    later = windows.withColumn("first", F.min(F.struct("doc_id", "s")).over(W.partitionBy("h"))).where("doc_id <> first.doc_id or s <> first.s")
-    spans = got.where("h is null").select("doc_id", "s", "e").unionByName(later.select("doc_id", "s", "e")).groupBy("doc_id", "s").agg(F.max("e").alias("e"))
+    places, spans, stale = _places(docs, least), [], []
+    base = F.lit(1 << 31)
+    while True:
+        places = cut(places.distinct())
+        drop(*stale)
+        # a document and word as one number, as the least of structs would have to be sorted for
+        place = F.col("doc_id").cast("decimal(20,0)") * base + F.col("pos")
+        kinds = cut(places.groupBy("anchor", "kind", "lo", "hi").agg(F.count("*").alias("n"), F.min(place).alias("first")))
+        again = kinds.where("n > 1").select("anchor", "kind", "first")
+        later = places.withColumn("place", place).join(again, ["anchor", "kind"]).where("place <> first")
+        spans.append(cut(later.groupBy("doc_id", F.col("start").alias("s")).agg(F.max(F.col("start") + F.col("size")).alias("e"))))
+        several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        pos = F.pmod("first", base.cast("decimal(20,0)"))
+        firsts = kinds.join(several, "anchor").select(((F.col("first") - pos) / base).cast("long").alias("doc_id"), pos.cast("int").alias("pos"), "lo", "hi", "anchor", ((F.col("kinds") > hot) & (F.col("hi") - F.col("lo") > 1)).alias("hot"))
+        firsts = cut(firsts)
+        of = lambda rows: cut(rows.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "lo", "hi", "anchor")).alias("places")))
+        cold = of(firsts.where("not hot"))
+        around = _surroundings(docs, cold, least).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
+        spans.append(cut(around.mapInArrow(lambda batches: _stream(batches, least), "doc_id long, s int, e int")))
+        more = of(firsts.where("hot"))
+        drop(cold, kinds, firsts)
+        drop(places)
+        if more.isEmpty():
+            break
+        places, stale = _longer(docs, more, least), [more]
+    every = spans[0]
+    for x in spans[1:]:
+        every = every.unionByName(x)
+    every = every.groupBy("doc_id", "s").agg(F.max("e").alias("e"))
     before = W.partitionBy("doc_id").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy("doc_id").orderBy("s", "e").rowsBetween(W.unboundedPreceding, 0)
-    spans = spans.withColumn("new", F.when(F.col("s") <= F.max("e").over(before), 0).otherwise(1)).withColumn("run", F.sum("new").over(upto))
-    return spans.groupBy("doc_id", "run").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word")).drop("run")
+    every = every.withColumn("new", F.when(F.col("s") <= F.max("e").over(before), 0).otherwise(1)).withColumn("run", F.sum("new").over(upto))
+    return every.groupBy("doc_id", "run").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word")).drop("run")
 
 
 def drop_repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -313,5 +360,3 @@ def drop_repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
         size = names[docs.columns.index("n_chars")]
         out = out.withColumn(size, F.when(F.col("cut"), F.length(text).cast("long")).otherwise(F.col(size)))
     return out.select(names).toDF(*docs.columns)
-
-
