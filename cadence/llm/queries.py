@@ -61,6 +61,24 @@ p as (select a.vec_id, b.vec_id as neighbor_id, round(list_dot_product(a.e, b.e)
 r as (select *, row_number() over (partition by vec_id order by score desc, neighbor_id) as rank from p)
 select vec_id, cast(rank as integer) as rank, neighbor_id, score from r where rank <= {topk.K}"""
 
+_WORDS = r"regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\x00-\x7F])+')"
+
+#: All pairs that share a gram, and what they connect: candidates that MinHash misses would show, on tables small enough for the join.
+MINHASH_SQL = f"""with recursive d as (select doc_id, {_WORDS} as w from documents where doc_id is not null and text is not null),
+g as (select distinct doc_id, unnest(case when len(w) < {minhash.SHINGLE} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {minhash.SHINGLE - 2}), lambda i: array_to_string(w[i:i + {minhash.SHINGLE - 1}], ' ')) end) as gram from d),
+n as (select doc_id, count(*) as n from g group by 1),
+e as (select a.doc_id as a, b.doc_id as b from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id group by 1, 2, x.n, y.n having count(*) >= {minhash.THRESHOLD}e0 * (x.n + y.n - count(*))),
+c(id, root) as (select distinct a, a from e union select e.b, c.root from c join e on e.a = c.id)
+select id as doc_id, min(root) as kept_id from c group by 1 having min(root) < id"""
+
+#: Windows by their words; each that isn't the first of its kind goes, and those that touch are one span.
+SPANS_SQL = f"""with d as (select doc_id, {_WORDS} as w from documents where doc_id is not null and text is not null),
+p as (select doc_id, w, unnest(range(1, len(w) - {substrings.LEAST - 2})) as s from d where len(w) >= {substrings.LEAST}),
+x as (select doc_id, s - 1 as s, row_number() over (partition by array_to_string(w[s:s + {substrings.LEAST - 1}], ' ') order by doc_id, s) as k from p),
+r as (select doc_id, s, case when s <= max(s + {substrings.LEAST}) over (partition by doc_id order by s rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from x where k > 1),
+t as (select *, sum(new) over (partition by doc_id order by s) as run from r)
+select doc_id, cast(min(s) as integer) as start_word, cast(max(s) + {substrings.LEAST} as integer) as end_word from t group by doc_id, run"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_templates": op2_url_templates,
@@ -74,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_topk": op10_exact_topk,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": MINHASH_SQL,
     "op2_url_templates": urltree.oracle_sql(),
+    "op6_substring_dedup": SPANS_SQL,
     "op10_exact_topk": TOPK_SQL,
 }
