@@ -134,13 +134,6 @@ def count_plain_kinds(words: DataFrame, tiers: DataFrame) -> DataFrame:
     return found.unionByName(empty)
 
 
-def analyze(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, total, confident, n_uncertain) of each line that has a token."""
-    unsure = (F.col("confidence") == "none") | (F.col("source") == "abstain")
-    sums = counted.groupBy(*keys).agg(F.sum("n").cast("int").alias("total"), F.count_if(unsure).cast("int").alias("n_uncertain"))
-    return sums.select(*keys, "total", (F.col("n_uncertain") == 0).alias("confident"), "n_uncertain")
-
-
 def deletions(word: Column) -> Column:
     """The word and what one deletion leaves of it or, of words of eight letters or more, two; the blocks of the spelling join."""
 

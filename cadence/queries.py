@@ -550,11 +550,17 @@ def split_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.split(lexicon.in_range(merged(spark, sf_dir)), "hard").select("word", "source", "part")
 
 
-@query()
+@query(
+    f"""with {_MERGED}, seed(word, n) as (values {_values(SEED_LEXICON.items())}), w as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as word from conversations), known as (select word from seed union select word from lexicon),
+    p as (select w.word, k.word as corrected, damerau_levenshtein(w.word, k.word) as distance from w join known k on w.word <> k.word and length(w.word) >= 4 and abs(length(w.word) - length(k.word)) <= 2
+        and (substr(w.word, 1, 1) = substr(k.word, 1, 1) or substr(k.word, 1, 2) = reverse(substr(w.word, 1, 2)))),
+    n as (select *, min(distance) over (partition by word) as least from p where distance <= case when length(word) >= 8 then 2 else 1 end)
+    select word, min(corrected) as corrected, cast(min(distance) as integer) as distance from n where distance = least group by word having count(*) = 1"""
+)
 def spellfix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of conversations held against the reconciled lexicon and the seed."""
     words = table(spark, sf_dir, "conversations", spread=True).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
-    return resolve.correct(words, resolve.seed_lexicon(spark))
+    return resolve.correct(words, resolve.seed_lexicon(spark).select("word").unionByName(merged(spark, sf_dir).select("word")))
 
 
 @query()

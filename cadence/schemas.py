@@ -13,7 +13,6 @@ TOKEN = T.StructType(
         T.StructField("note", T.StringType()),
     ]
 )
-COUNTED = T.StructType([T.StructField("raw", T.StringType()), T.StructField("n", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in ("source", "confidence", "note"))])
 LEXICON = T.StructType(
     [
         T.StructField("word", T.StringType()),
