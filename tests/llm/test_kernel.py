@@ -46,14 +46,15 @@ def test_ngrams(texts, n):
 
 
 @pytest.mark.parametrize("seed", [0, 1])
-def test_connected_components(spark, seed):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_connected_components(spark, seed, few):
     r = np.random.default_rng(seed)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 120, (70, 2))] + [(200 + i, 201 + i) for i in range(40)] + [(5, 5), (None, 3)]
-    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), few).collect()
     known = groups([e for e in edges if None not in e and e[0] != e[1]])
     assert {x["id"]: x["root"] for x in got if x["id"] != x["root"]} == known
     assert len(got) == len({x["id"] for x in got})
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long"), few).count() == 0
 
 
 def test_verified_components_equal_all_pairs(spark):
