@@ -85,7 +85,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     A group is what pairs of Jaccard similarity of at least threshold connect; the similarity is that of the sets of word
     3-grams, a shorter text being one gram. Texts of equal words are always together, and so are texts without words. Rows with a null id or text
-    belong to no group. Rows that repeat an id count as that one document, with all their texts. Other columns are not read.
+    belong to no group. Rows that repeat an id count as that one document, with all their texts. A text of any length is read whole, and must fit a worker. Other columns are not read.
     """
     signed = cut(signatures(docs))
     firsts = signed.withColumn("first", F.min("id").over(W.partitionBy("f1", "f2")))

@@ -90,7 +90,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
     """A row for each shard: shard, doc_ids, n_tokens, data.
 
     shard is a name made of the content, so a task that runs again makes the same. A null or empty text has a frame of no tokens; rows with
-    a null id are left out; rows that repeat an id have a frame each. Other columns are not read. No rows make no shard.
+    a null id are left out; rows that repeat an id have a frame each. A text of any length is one frame, and must fit a worker. Other columns are not read. No rows make no shard.
     """
     ranks = share(docs.sparkSession, load_ranks(vocabulary))
 

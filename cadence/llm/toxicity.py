@@ -248,7 +248,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
 
     A null or blank text has the probabilities that the models give to a document without words, and is never rejected.
     Without any labelled document the probabilities are null and nothing is rejected. Rows with a null or repeated id are
-    scored like any other; other columns of docs are not read.
+    scored like any other, a text of any length whole, so that it must fit a worker; a probability of just the threshold rejects. Other columns of docs are not read.
     """
     spec = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", rejected boolean"
     known = share(docs.sparkSession, chain)

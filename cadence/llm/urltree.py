@@ -41,7 +41,7 @@ def url_templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     merged branch of n segments from a to z. Segments of equal shares are put in order by name. bad_share is the template's share of bad labels,
     drawn towards its host's by PRIOR labels, which in turn is drawn towards that of all. A template of MIN_LABELS labels or more and a bad_share of
     REJECT or more is rejected. A page without a url, or with one that has no scheme and host, has a null host and is not rejected. Repeated
-    rows count each. Without labels nothing is rejected.
+    rows count each. Without labels nothing is rejected. Other columns are not read.
     """
     worst = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("long")).alias("bad"))
     host = F.lower(F.regexp_extract("url", _HOST, 1))
