@@ -201,7 +201,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD
 
     score is the best passage's BM25 score as a share of the item's own; the overlaps are the shares of the question's and the answer's word pairs in
     that passage, both at least overlap. Null or blank texts, and rows with a null id on either side, match nothing. Items of equal
-    text are each reported, and of passages that score alike the first. A text of any length is read whole, and must fit a worker. Rows that repeat an id are one document. An empty benchmark gives
+    text are each reported, and of passages that score alike the one of greater overlaps. A text of any length is read whole, and must fit a worker. Rows that repeat an id are one document. An empty benchmark gives
     no rows. Other columns are not read.
     """
     spark = docs.sparkSession
