@@ -176,7 +176,9 @@ def _at_places(docs: DataFrame, found: DataFrame, spec: str, rows) -> DataFrame:
                 yield from rows(batch.column("doc_id").slice(lo, hi - lo), row[ok], words, at[ok], *(flat.field(c).to_numpy()[ok] for c in ("lo", "hi", "anchor")), hasher)
 
     few = (found.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
-    return _texts(docs).join(F.broadcast(found) if few else found, "doc_id").select("doc_id", "text", "places").mapInArrow(run, spec)
+    # of more places at least the ids, if these are few enough, keep other documents from being shuffled
+    texts = _texts(docs).join(F.broadcast(found), "doc_id") if few else with_ids(_texts(docs), found.select("doc_id"), "doc_id").join(found, "doc_id")
+    return texts.select("doc_id", "text", "places").mapInArrow(run, spec)
 
 
 def _surroundings(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
