@@ -79,6 +79,23 @@ r as (select doc_id, s, case when s <= max(s + {substrings.LEAST}) over (partiti
 t as (select *, sum(new) over (partition by doc_id order by s) as run from r)
 select doc_id, cast(min(s) as integer) as start_word, cast(max(s) + {substrings.LEAST} as integer) as end_word from t group by doc_id, run"""
 
+_LETTERS = "etaonirsldu "
+_EDITS = f"floor({1 - linededup.THRESHOLD:.9g}e0 * b.size + 1e-9)"
+
+#: All pairs of lines of about a length whose frequent letters don't tell them apart, by edit distance. As that goes by bytes here, the letters of the tables that have more than one get others.
+LINES_SQL = f"""with recursive l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) as line_no, string_split(text, chr(10)) as lines from documents where doc_id is not null and text is not null),
+n as (select doc_id, line_no, trim(regexp_replace(lower(lines[line_no + 1]), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g')) as norm from l),
+m as (select doc_id, line_no, translate(norm, 'éóèñçüêäößí', 'ABCDEFGHIJK') as t, length(norm) as size from n where norm <> ''),
+s as (select t, size, row_number() over (order by t) as id, {', '.join(f"size - length(replace(t, '{c}', '')) as n{k}" for k, c in enumerate(_LETTERS))} from (select distinct t, size from m)),
+e as (select a.id as a, b.id as b from s a join s b on a.id <> b.id and b.size between a.size and cast(a.size / {linededup.THRESHOLD} as bigint) + 1 and (a.size < b.size or a.id < b.id) where b.size - a.size <= {_EDITS}
+    and {' + '.join(f'abs(a.n{k} - b.n{k})' for k in range(len(_LETTERS)))} <= 2 * {_EDITS} and levenshtein(a.t, b.t) <= {_EDITS}),
+g as (select a, b from e union all select b, a from e),
+c(id, root) as (select distinct a, a from g union select g.b, c.root from c join g on g.a = c.id),
+r as (select id, min(root) as root from c group by 1),
+k as (select m.doc_id, m.line_no, coalesce(r.root, s.id) as root from m join s on m.t = s.t left join r on r.id = s.id),
+f as (select *, min(struct_pack(doc_id := doc_id, line_no := line_no)) over (partition by root) as kept from k)
+select doc_id, cast(line_no as integer) as line_no, kept.doc_id as kept_doc_id, cast(kept.line_no as integer) as kept_line_no from f where doc_id <> kept.doc_id or line_no <> kept.line_no"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_templates": op2_url_templates,
@@ -94,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": MINHASH_SQL,
     "op2_url_templates": urltree.oracle_sql(),
+    "op4_line_dedup": LINES_SQL,
     "op6_substring_dedup": SPANS_SQL,
     "op10_exact_topk": TOPK_SQL,
 }
