@@ -67,6 +67,11 @@ def best_run(results: DataFrame, by: str = "best_val", size: str | None = None)
     return results.orderBy(F.desc_nulls_last(by), *([F.asc_nulls_last(size)] if size else [])).limit(1)
 
 
+def by_size(results: DataFrame, size: str = "params") -> DataFrame:
+    """Runs from the largest model to the smallest, those of unknown size last."""
+    return results.orderBy(F.desc_nulls_last(size))
+
+
 #: Presets of model capacity: embedding, widths, filters, recurrent size, head.
 CAPACITY = {"medium": (32, (2, 3), 64, 96, 128), "s44k": (24, (2, 3), 32, 48, 64), "s22k": (16, (2, 3), 24, 32, 48), "s7k": (12, (2, 3), 16, 16, 32), "s4k": (10, (2, 3), 12, 12, 24), "s2k": (8, (2, 3), 8, 8, 16)}
 CAPACITY["small"] = CAPACITY["s44k"]

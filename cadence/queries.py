@@ -173,9 +173,10 @@ def elongation_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(T.collapse_elongation(word), " ").alias("forms"))
 
 
-@query("select doc_id, strip_accents(text) as folded from documents")
+@query("select doc_id, strip_accents(text) as folded, strip_accents(text) as folded_any from documents")
 def diacritic_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", spread=True).select("doc_id", T.strip_marks(F.col("text")).alias("folded"))
+    """Marks off Latin letters without leaving the JVM, and off letters of any script."""
+    return table(spark, sf_dir, "documents", spread=True).select("doc_id", T.strip_marks(F.col("text")).alias("folded"), T.strip_marks_any(F.col("text")).alias("folded_any"))
 
 
 @query("select conv_id, turn, replace(replace(text, ' ', chr(39) || ' one half  three quarters '), 'fi', 'fi') as folded from conversations")
@@ -303,6 +304,28 @@ def count_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.count_lines(turns(spark, sf_dir))
 
 
+@query(_WORDS_SQL + _ROUTED + f", a as (select line_id, count(*) as n from k where oov and not {_HARD} group by 1) select r.line_id, case when hard then 'hard' when asked_n > 0 then 'det+oov' else 'det' end as routing, cast(det as integer) as det, cast(coalesce(n, 0) as integer) as asked from routed r left join a on a.line_id = r.line_id")
+def line_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each line before any scorer."""
+    routed = api.line_routes(turns(spark, sf_dir))
+    return routed.select(F.col("line_key").alias("line_id"), policy.routing_label(F.col("oov_n"), F.col("hard")).alias("routing"), "det", F.col("oov_n").alias("asked"))
+
+
+@query(_WORDS_SQL + _ROUTED + " select line_id, cast(case when not hard and asked_n = 0 then det end as integer) as syllable_count from routed")
+def sql_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL function over single texts."""
+    api.register(spark)
+    return turns(spark, sf_dir).select("line_id", F.expr("syllable_count(text)").alias("syllable_count"))
+
+
+@query(_WORDS_SQL + " select source, cast(n as integer) as n, count(*) as tokens from k group by 1, 2")
+def sql_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL table function over single texts."""
+    api.register(spark)
+    traced = spark.sql("select t.* from {lines}, lateral syllable_trace(text) t", lines=turns(spark, sf_dir))
+    return traced.where("source not in ('punct', 'emoji', 'symbol')").groupBy("source", "n").agg(F.count("*").alias("tokens"))
+
+
 def asked_scorer(words: DataFrame) -> DataFrame:
     """All but sure of a count made of a word's length."""
     k = 1 + F.length("word") % 3
@@ -455,6 +478,18 @@ def per_count_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.per_count(scored(spark, sf_dir))
 
 
+@query(_SCORED + ", c as (select y, round(avg(case when pred = y then 1.0 else 0 end), 3) as exact, count(*) as n from z group by 1) select round(avg(exact), 9) as exact_mean, round(stddev_pop(exact), 9) as exact_std, round(avg(n), 9) as n_mean, round(stddev_pop(n), 9) as n_std from c")
+def measure_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spread = evaluate.spread(evaluate.per_count(scored(spark, sf_dir)), ["exact", "n"])
+    return spread.select(*(F.round(c, 9).alias(c) for c in spread.columns))
+
+
+@query(_SCORED + ", t as (select vec_id, unnest(range(1, 9)) as count, p from z), r as (select vec_id, count, row_number() over (partition by vec_id order by p[count] desc, count) as rank from t) select vec_id, cast(rank as integer) as rank, cast(count as integer) as count from r where rank <= 3")
+def top_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = softmax(spark, sf_dir).select("vec_id", F.posexplode(evaluate.top_classes(F.col("p"))).alias("k", "top"))
+    return top.select("vec_id", (F.col("k") + 1).alias("rank"), "top.count")
+
+
 @query(f"with {_SOFTMAX}, u as (select label, unnest(range(1, 9)) as k, p from s), m as (select label, k, avg(p[k]) as x from u group by 1, 2) select label, cast(k as integer) as k, round(x, 9) as p from m")
 def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = evaluate.ensemble(softmax(spark, sf_dir), ["label"])

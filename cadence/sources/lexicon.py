@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import lzma
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,6 +190,22 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return out.select(*(F.col(f.name).cast(f.dataType) for f in LEXICON))
 
 
+def load_lexicon(spark: SparkSession, path: str, cmudict: str | None = None) -> DataFrame:
+    """The lexicon file, or where it is missing, empty or broken, the words of a CMUdict file with all counts that these have."""
+    try:
+        found = read_lexicon(spark, path)
+        if not found.isEmpty():
+            return found
+        broken: Exception = ValueError(f"{path} holds no words")
+    except (OSError, EOFError, lzma.LZMAError, ValueError, PySparkException) as e:
+        broken = e
+    if cmudict is None:
+        raise broken
+    rows = parse_cmudict(text_lines(spark, cmudict))
+    out = rows.select("word", "primary", F.col("counts").alias("valid"), (F.size("counts") > 1).alias("ambiguous"), F.lit("cmu").alias("source"))
+    return out.select(*(F.col(f.name).cast(f.dataType) for f in LEXICON))
+
+
 def write_lexicon(lexicon: DataFrame, path: str) -> None:
     """word and primary, sorted: as .xz one file by the driver, else Parquet."""
     rows = lexicon.select("word", "primary").orderBy("word")

@@ -51,6 +51,15 @@ def test_reconcile_split_and_files(spark, tmp_path):
     for name in ("lex.tsv.xz", "lex.parquet"):
         L.write_lexicon(out, str(tmp_path / name))
         assert {r["word"]: r["primary"] for r in L.read_lexicon(spark, str(tmp_path / name)).collect()} == {k: v[0] for k, v in got.items()}
+    (tmp_path / "cmudict.dict").write_text("cat K AE1 T\nfire F AY1 ER0\nfire(2) F AY1 R\n")
+    (tmp_path / "empty.tsv.xz").write_bytes(b"")
+    (tmp_path / "broken.tsv.xz").write_bytes(b"no archive")
+    assert L.load_lexicon(spark, str(tmp_path / "lex.tsv.xz"), "none").count() == len(got)
+    for name in ("empty.tsv.xz", "broken.tsv.xz", "missing.tsv.xz", "missing.tsv", "missing.parquet"):
+        found = {r["word"]: (r["primary"], r["valid"], r["ambiguous"], r["source"]) for r in L.load_lexicon(spark, str(tmp_path / name), str(tmp_path / "cmudict.dict")).collect()}
+        assert found == {"cat": (1, [1], False, "cmu"), "fire": (2, [1, 2], True, "cmu")}, name
+    with pytest.raises(Exception, match="missing"):
+        L.load_lexicon(spark, str(tmp_path / "missing.parquet"))
     with pytest.raises(ValueError):
         L.split(out, "other")
     assert {r["word"]: r["part"] for r in L.split(out, "source_oov").collect()}["new"] == "test"
@@ -82,6 +91,8 @@ def test_measures(spark):
     assert m["amb_mass"] == pytest.approx((0.95 + 0.7) / 2)
     assert evaluate.metrics(df.where("not ambiguous")).first()["amb_cover"] is None
     assert [(t["count"], t["p"]) for t in df.limit(1).select(evaluate.top_classes(F.col("p"), 2).alias("t")).first()["t"]] == [(1, 0.7), (2, 0.25)]
+    results = spark.createDataFrame([("a", 0.9, 10), ("b", 0.95, 30), ("c", 0.95, 20), ("d", None, 40)], "run string, best_val double, params int")
+    assert evaluate.best_run(results, size="params").first()["run"] == "c" and [r["run"] for r in evaluate.by_size(results).collect()] == ["d", "b", "c", "a"]
     runs = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.6), ("a", 3, 0.55), ("a", 4, 0.6)], "run string, epoch int, v double")
     assert [r["stop"] for r in evaluate.early_stop(runs, "run", "epoch", "v", 2).orderBy("epoch").collect()] == [False, False, False, True]
 
