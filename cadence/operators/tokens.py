@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -15,6 +16,8 @@ from cadence.functions import text as T
 from cadence.operators.scan import scan
 from cadence.tables import CONTRACTION
 
+#: Bytes of texts that the scanner's workers turn into tokens at a time.
+LETTERS = 1 << 17
 #: What a plain line has none of: anything but letters, spaces and these marks, or a mark before a letter. In the rest nothing reads as a
 #: number, link, name, face, symbol or numeral, but for ODD. Searches, as a pattern of whole lines would backtrack on long ones.
 UNPLAIN = r"[^A-Za-z\s.,!?\"]|[.,!?\"][A-Za-z]"
@@ -43,14 +46,30 @@ def exploded(lines: DataFrame, raws: Column, text: str = "text") -> DataFrame:
     return lines.select(*(c for c in lines.columns if c != text), F.posexplode_outer(raws).alias("pos", "raw"))
 
 
-def scanned_tokens(text: Column, numerals: frozenset[str]) -> Column:
-    """The token array of any line. numerals: words of the lexicon that look like Roman numerals."""
+def _few(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of LETTERS bytes or so each: the tokens of one range are all that Python holds of a batch, however large."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + LETTERS, "right")))
+        yield lo, hi
+        lo = hi
 
-    @F.pandas_udf(schemas.T.ArrayType(schemas.TOKEN))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [dict(zip(schemas.TOKEN.names, x)) for x in scan(t, numerals.__contains__)])
 
-    return run(text)
+def scanned_tokens(lines: DataFrame, numerals: frozenset[str], text: str = "text") -> DataFrame:
+    """Any lines with tokens, an array. numerals: words of the lexicon that look like Roman numerals."""
+    kind = schemas.T.ArrayType(schemas.TOKEN)
+    names, arrow = schemas.TOKEN.names, to_arrow_type(kind)
+    schema = schemas.T.StructType([*lines.schema, schemas.T.StructField("tokens", kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in _few(batch.column(text)):
+                part = batch.slice(lo, hi - lo)
+                made = [None if t is None else [dict(zip(names, x)) for x in scan(t, numerals.__contains__)] for t in part.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, arrow)], names=[*part.schema.names, "tokens"])
+
+    return lines.mapInArrow(run, schema)
 
 
 def numerals_of(lexicon: DataFrame) -> frozenset[str]:
@@ -59,23 +78,25 @@ def numerals_of(lexicon: DataFrame) -> frozenset[str]:
     return frozenset(r["word"] for r in rows)
 
 
-def in_batches(lines: DataFrame, spec: str, row: Callable[[str], Iterable[tuple]], text: str = "text") -> DataFrame:
-    """(line_key, the columns of spec): the rows that row() makes of each text, in the Arrow batches that bring the texts, once."""
+def in_batches(lines: DataFrame, spec: str, row: Callable[[str, dict], Iterable[tuple]], text: str = "text") -> DataFrame:
+    """(line_key, the columns of spec): the rows that row() makes of each text, in the Arrow batches that bring the texts, once. Its second argument is a dict that a task keeps."""
     names = [f.name for f in _parsed(spec)]
     kind = lines.schema["line_key"].dataType
     schema = schemas.T.StructType([schemas.T.StructField("line_key", kind), *_parsed(spec)])
     types = [to_arrow_type(f.dataType) for f in _parsed(spec)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
         for batch in batches:
-            at: list[int] = []
-            rows: list[tuple] = []
-            for k, t in enumerate(batch.column(text).to_pylist()):
-                made = list(row(t)) if t is not None else []
-                rows += made
-                at += [k] * len(made)
-            columns = zip(*rows) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column("line_key").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types))], names=["line_key", *names])
+            for lo, hi in _few(batch.column(text)):
+                at: list[int] = []
+                rows: list[tuple] = []
+                for k, t in enumerate(batch.column(text)[lo:hi].to_pylist(), lo):
+                    made = list(row(t, memo)) if t is not None else []
+                    rows += made
+                    at += [k] * len(made)
+                columns = zip(*rows) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([batch.column("line_key").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types))], names=["line_key", *names])
 
     return lines.select("line_key", text).mapInArrow(run, schema)
 
@@ -100,7 +121,7 @@ def tokenize(lines: DataFrame, numerals: frozenset[str], text: str = "text") ->
         x.alias("raw"), F.when(x.rlike("[A-Za-z]"), "word").otherwise("punct").alias("kind"), F.when(x.rlike("[A-Za-z]"), T.collapse_elongation(F.lower(x))).alias("candidates"),
         F.lit(None).cast("array<string>").alias("words"), (~x.rlike("[A-Za-z]")).alias("silent"), F.lit(False).alias("approx"), plain_note(x).alias("note"),
     )
-    return plain.withColumn("tokens", F.transform(plain_tokens(F.col(text)), token)).unionByName(odd.withColumn("tokens", scanned_tokens(F.col(text), numerals)))
+    return plain.withColumn("tokens", F.transform(plain_tokens(F.col(text)), token)).unionByName(scanned_tokens(odd, numerals, text))
 
 
 def plain_note(raw: Column) -> Column:

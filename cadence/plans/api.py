@@ -38,7 +38,7 @@ def trace(lines: DataFrame, lexicon: DataFrame | None = None, key: str = "line_i
     plain, odd = tokens.branches(lines)
     direct = resolve.count_plain(tokens.exploded(plain, tokens.plain_tokens(F.col("text"))).where("raw is not null"), tiers).select("line_key", *_TRACE)
     known = spark.sparkContext.broadcast(_known(lexicon, words))
-    scanned = tokens.in_batches(odd, "pos int, raw string, n int, source string, confidence string, note string", lambda t: ((k, *x) for k, x in enumerate(trace_text(t, known.value))))
+    scanned = tokens.in_batches(odd, "pos int, raw string, n int, source string, confidence string, note string", lambda t, memo: ((k, *x) for k, x in enumerate(trace_text(t, known.value, memo))))
     return direct.unionByName(scanned).withColumnRenamed("line_key", key)
 
 
@@ -57,8 +57,8 @@ def line_routes(lines: DataFrame, lexicon: DataFrame | None = None, key: str = "
     direct = policy.route_lines(resolve.count_plain(exploded, tiers) if small else resolve.count_plain_kinds(exploded, tiers), KEY)
     if small:
         known = spark.sparkContext.broadcast(_known(lexicon, words))
-        return direct.unionByName(tokens.in_batches(odd, _SUMS, lambda t: [line_sums(t, known.value)]))
-    scanned = odd.withColumn("tokens", tokens.scanned_tokens(F.col("text"), tokens.numerals_of(words))).drop("text")
+        return direct.unionByName(tokens.in_batches(odd, _SUMS, lambda t, memo: [line_sums(t, known.value, memo)]))
+    scanned = tokens.scanned_tokens(odd, tokens.numerals_of(words)).drop("text")
     spoken = policy.classify(resolve.count_tokens(tokens.explode_tokens(scanned).where("not silent"), tiers, KEY, False)).select("line_key", "pos", "n", "source", "route", "oov_word")
     every = odd.select("line_key", F.lit(-1).alias("pos"), F.lit(0).alias("n"), F.lit("punct").alias("source"), F.lit("det").alias("route"), F.lit(None).cast("string").alias("oov_word"))
     return direct.unionByName(policy.route_lines(spoken.unionByName(every), KEY))

@@ -1,15 +1,18 @@
 import json
 import math
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cadence.operators import evaluate, policy, resolve, scan, scorer
+from cadence.operators import evaluate, policy, resolve, scalar, scan, scorer, tokens
 from cadence.operators.scalar import count_text, trace_text
 from cadence.plans import api
+from cadence.queries import QUERIES
 from cadence.tables import SEED_LEXICON as LEXICON
 
 TOTALS = {
@@ -218,3 +221,26 @@ def test_registered_functions(spark):
 def test_description(spark):
     text = api.describe(frame(spark, ["5 cats!"])).first()["description"]
     assert text.splitlines()[:2] == ["'5 cats!'", "[OK    ] total=2"] and len(text.splitlines()) == 4
+
+
+def test_words_are_answered_alike_once_or_again(monkeypatch):
+    r = random.Random(4)
+    bits = ["don't", "xD", "XXD", "IV", "MMXX", "well-known", "www", "www.", "N’a", "été", "Straße", "ŉ", "x-D", "soooo", "hmm", "...", "中文", "n\u0303o", "it's-a", "bcdfghjkl", "eauêlemention", "hAHahAha", "cats", "3pm", "a@b.com"]
+    lines = ["".join(r.choice(bits) + r.choice([" ", "", ",", ". "]) for _ in range(r.randrange(1, 7))) for _ in range(3000)]
+    sums, traces = {}, {}
+    for line in lines:
+        assert scalar.line_sums(line, LEXICON, sums) == scalar.line_sums(line, LEXICON), line
+        assert scalar.trace_text(line, LEXICON, traces) == scalar.trace_text(line, LEXICON), line
+    seen = []
+    monkeypatch.setattr(scalar, "scan", lambda text, known: seen.append(text) or scan.scan(text, known))
+    memo = {}
+    for _ in range(50):
+        scalar.line_sums("été eauêlemention cats, " * 20, LEXICON, memo)
+    assert len(seen) <= 4
+
+
+def test_tokens_are_made_of_few_texts_at_a_time(monkeypatch):
+    texts = pa.array(["é" * 40, None, "", "x" * 1000] * 100)
+    monkeypatch.setattr(tokens, "LETTERS", 500)
+    parts = list(tokens._few(texts))
+    assert [k for lo, hi in parts for k in range(lo, hi)] == list(range(400)) and len(parts) >= 200
