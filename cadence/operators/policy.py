@@ -68,25 +68,33 @@ def haiku(total: Column) -> Column:
     return F.when(total.isin(5, 7), total)
 
 
-def _asked(routed: DataFrame, keys: list[str], most: int | None) -> tuple[DataFrame, DataFrame]:
+def budget(most: int | tuple[int, ...] | None) -> Column | int | None:
+    """The budget of a row: with several, which are columns of their own by totals(), that of its column most."""
+    return F.col("most") if isinstance(most, tuple) else most
+
+
+def _asked(routed: DataFrame, keys: list[str], most: Column | int | None) -> tuple[DataFrame, DataFrame]:
     """Lines that nothing is to be asked for, and those that wait for the scorer; lines given up, or over the budget at one for each word, are in neither."""
     fits = ~F.col("hard") & (F.lit(True) if most is None else F.col("det") + F.col("oov_n") <= most)
     return routed.where(fits & (F.col("oov_n") == 0)), routed.where(fits & (F.col("oov_n") > 0))
 
 
-def asked_words(routed: DataFrame, keys: list[str], most: int | None) -> DataFrame:
-    """(word): the distinct words that the scorer is to be asked for."""
-    return _asked(routed, keys, most)[1].select(F.explode("oov").alias("word")).distinct()
+def asked_words(routed: DataFrame, keys: list[str], most: int | tuple[int, ...] | None) -> DataFrame:
+    """(word): the distinct words that the scorer is to be asked for. Of several budgets the largest asks for all."""
+    return _asked(routed, keys, max(most) if isinstance(most, tuple) else most)[1].select(F.explode("oov").alias("word")).distinct()
 
 
-def totals(routed: DataFrame, scores: DataFrame | None, keys: list[str], most: int | None, fuzziness: float | tuple[float, ...]) -> DataFrame:
-    """(keys, syllable_count): the sum of a line, or null; with several settings of fuzziness (keys, fuzziness, syllable_count), from one scoring.
+def totals(routed: DataFrame, scores: DataFrame | None, keys: list[str], most: int | tuple[int, ...] | None, fuzziness: float | tuple[float, ...]) -> DataFrame:
+    """(keys, syllable_count): the sum of a line, or null; with several settings of fuzziness (keys, fuzziness, syllable_count), from one scoring; with several budgets keys and most.
 
     scores has (word, p) of the words that asked_words() has; None stands for a scorer that isn't there.
     """
     many = isinstance(fuzziness, tuple)
     steps = fuzziness if many else (fuzziness,)
     each = F.array(*map(F.lit, map(float, steps)))
+    if isinstance(most, tuple):
+        routed, keys = routed.withColumn("most", F.explode(F.array(*map(F.lit, most)))), [*keys, "most"]
+    most = budget(most)
     sure, asked = _asked(routed, keys, most)
     out = sure.select(*keys, F.explode(each).alias("fuzziness"), F.col("det").alias("syllable_count"))
     if scores is not None:

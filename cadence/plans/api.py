@@ -70,16 +70,16 @@ def analyze(lines: DataFrame, lexicon: DataFrame | None = None, key: str = "line
     return sums.select(F.col("line_key").alias(key), "total", (F.col("n_uncertain") == 0).alias("confident"), "n_uncertain")
 
 
-def count_keys(lines: DataFrame, lexicon: DataFrame | None = None, scorer: Scorer | None = None, fuzziness: float | tuple[float, ...] = 0.0, most: int | None = None, key: str = "line_id", text: str = "text") -> DataFrame:
+def count_keys(lines: DataFrame, lexicon: DataFrame | None = None, scorer: Scorer | None = None, fuzziness: float | tuple[float, ...] = 0.0, most: int | tuple[int, ...] | None = None, key: str = "line_id", text: str = "text") -> DataFrame:
     """(key, syllable_count) of the lines that have a sure count of up to `most`; key must identify lines.
 
     The scorer sees each unknown word once, and none of lines that are settled without it. An empty text has 0; a null one is left out. With a tuple of
-    settings of fuzziness the rows are (key, fuzziness, syllable_count).
+    settings of fuzziness the rows are (key, fuzziness, syllable_count); with one of budgets they have most, too.
     """
     routed = line_routes(lines, lexicon, key, text)
     scores = scorer(policy.asked_words(routed, KEY, most)) if scorer is not None else None
     out = policy.totals(routed, scores, KEY, most, fuzziness)
-    return out.withColumn("syllable_count", policy.within(F.col("syllable_count"), most)).where("syllable_count is not null").withColumnRenamed("line_key", key)
+    return out.withColumn("syllable_count", policy.within(F.col("syllable_count"), policy.budget(most))).where("syllable_count is not null").withColumnRenamed("line_key", key)
 
 
 def count_lines(lines: DataFrame, lexicon: DataFrame | None = None, scorer: Scorer | None = None, fuzziness: float = 0.0, most: int | None = None, key: str = "line_id", text: str = "text") -> DataFrame:

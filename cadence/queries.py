@@ -339,8 +339,9 @@ def oov_table_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_WORDS_SQL + _ROUTED + ", b(most) as (values (20), (60), (120)) select line_id, most, cast(case when not hard and det + asked_n <= most and det + said <= most then det + said end as integer) as syllable_count from routed cross join b")
 def budget_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [api.count_lines(turns(spark, sf_dir), scorer=asked_scorer, most=m).select("line_id", F.lit(m).alias("most"), "syllable_count") for m in (20, 60, 120)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    lines, budgets = turns(spark, sf_dir), (20, 60, 120)
+    each = lines.select("line_id", F.explode(F.array(*map(F.lit, budgets))).alias("most"))
+    return each.join(api.count_keys(lines, scorer=asked_scorer, most=budgets), ["line_id", "most"], "left")
 
 
 @query()

@@ -244,3 +244,8 @@ def test_tokens_are_made_of_few_texts_at_a_time(monkeypatch):
     monkeypatch.setattr(tokens, "LETTERS", 500)
     parts = list(tokens._few(texts))
     assert [k for lo, hi in parts for k in range(lo, hi)] == list(range(400)) and len(parts) >= 200
+
+
+def test_budgets_share_a_scan(spark):
+    plan = QUERIES["budget_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= 3
