@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from itertools import filterfalse
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -33,16 +34,27 @@ def expand_fractions(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
+#: Texts that a worker turns into Python strings at a time: beside these a batch stays in Arrow's form.
+TEXTS = 256
+
+
+def _each(texts: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    """change() of each text that isn't ASCII."""
+    parts = (texts[lo : lo + TEXTS].to_pylist() for lo in range(0, len(texts), TEXTS))
+    made = [pa.array([t if t is None or t.isascii() else change(t) for t in part], pa.string()) for part in parts]
+    return pa.concat_arrays(made) if made else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
     """NFKC, which no built-in function gives; ASCII values of a batch are not touched."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    return _each(texts, lambda t: unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf(StringType())
-def strip_marks_any(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def strip_marks_any(texts: pa.Array) -> pa.Array:
     """NFKD without combining marks, for any script."""
-    return texts.map(lambda t: t if t is None or t.isascii() else _base(t))
+    return _each(texts, _base)
 
 
 def strip_marks(text: Column) -> Column:

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,11 @@ def test_junk(spark, word):
     from cadence.operators import scan
 
     assert spark.range(1).select(T.looks_junk(F.lit(word)).alias("j")).first()["j"] == scan.looks_junk(word)
+
+
+def test_texts_are_changed_some_at_a_time(spark):
+    texts = ["ệ", None, "a", "ﬁ"] * 300
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(T.strip_marks_any(F.col("t")).alias("m"), T.nfkc(F.col("t")).alias("n")).collect()
+    assert [tuple(r) for r in rows] == [("e", "ệ"), (None, None), ("a", "a"), ("fi", "fi")] * 300
+    held = []
+    assert T._each(pa.array(texts), lambda t: held.append(t) or t).to_pylist() == texts and len(held) == 600
