@@ -504,7 +504,7 @@ _PARTS = "select p_partkey as line_no, lower(regexp_replace(p_type, '[^A-Za-z]',
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.concat(F.lower(F.regexp_replace("p_type", "[^A-Za-z]", "")), F.chr(97 + F.col("p_partkey") % 7))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_no"), w.alias("w"), (F.col("p_partkey") % 5).alias("k"))
+    return table(spark, sf_dir, "part", spread=True).select(F.col("p_partkey").alias("line_no"), w.alias("w"), (F.col("p_partkey") % 5).alias("k"))
 
 
 def cmu_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

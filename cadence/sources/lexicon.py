@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadence.functions.numbers import let
 from cadence.functions.text import az_key
 from cadence.schemas import LEXICON
 
@@ -38,8 +39,9 @@ def parse_cmudict(lines: DataFrame) -> DataFrame:
 
 def ipa_runs(ipa: Column) -> Column:
     """Maximal runs of phones with a vowel or a syllabic mark."""
-    vowel = F.transform(F.split(F.trim(ipa), r"\s+"), lambda p: p.rlike(f"[{IPA_VOWELS}{SYLLABIC}]"))
-    return F.size(F.filter(F.sequence(F.lit(0), F.size(vowel) - 1), lambda k: F.get(vowel, k) & ~F.coalesce(F.get(vowel, k - 1), F.lit(False))))
+    phones = F.transform(F.split(F.trim(ipa), r"\s+"), lambda p: p.rlike(f"[{IPA_VOWELS}{SYLLABIC}]"))
+    # bound once: named within the filter it would be made anew for each phone
+    return let(phones, lambda vowel: F.size(F.filter(F.sequence(F.lit(0), F.size(vowel) - 1), lambda k: F.get(vowel, k) & ~F.coalesce(F.get(vowel, k - 1), F.lit(False)))))
 
 
 def parse_wikipron(lines: DataFrame) -> DataFrame:
@@ -132,22 +134,27 @@ def stem(word: Column) -> Column:
     return out
 
 
-def first_by(rows: DataFrame, order: Column, n: int) -> Column:
-    """Whether a row is among the first n by order, a struct whose first field is a hash h; exact, without sorting the rows.
+def first_by(rows: DataFrame, order: Column, *ns: int) -> list[Column]:
+    """For each n whether a row is among the first n by order, a struct whose first field is a hash h; exact, without sorting the rows.
 
-    The hashes' first 16 bits are counted, at most 65,536 of them, and only rows of the one value in which the n-th row lies are brought to the driver.
+    The hashes' first 16 bits are counted, at most 65,536 of them, and only rows of the one value in which an n-th row lies are brought to the driver.
     """
     top = F.shiftright(order["h"], 48)
-    seen = 0
-    for r in rows.groupBy(top.alias("top")).count().orderBy("top").collect():
-        if seen + r["count"] <= n:
-            seen += r["count"]
-            continue
-        if n <= seen:
-            return top < r["top"]
-        last = rows.where(top == r["top"]).select(order.alias("o")).orderBy("o").limit(n - seen).collect()[-1]["o"]
-        return order <= F.struct(*(F.lit(v).alias(k) for k, v in last.asDict().items()))
-    return F.lit(n > 0)
+    counts = rows.groupBy(top.alias("top")).count().orderBy("top").collect()
+    out = []
+    for n in ns:
+        seen, first = 0, F.lit(n > 0)
+        for r in counts:
+            if seen + r["count"] <= n:
+                seen += r["count"]
+                continue
+            first = top < r["top"]
+            if n > seen:
+                last = rows.where(top == r["top"]).select(order.alias("o")).orderBy("o").limit(n - seen).collect()[-1]["o"]
+                first = order <= F.struct(*(F.lit(v).alias(k) for k, v in last.asDict().items()))
+            break
+        out.append(first)
+    return out
 
 
 def split(lexicon: DataFrame, how: str = "random", seed: int = 0, validation: float = 0.05, test: float = 0.05) -> DataFrame:
@@ -162,13 +169,16 @@ def split(lexicon: DataFrame, how: str = "random", seed: int = 0, validation: fl
         return lexicon.withColumn("part", F.lit("train"))
     by = stem(F.col("word")) if how == "hard" else F.col("word")
     order = F.struct(F.xxhash64(by, F.lit(seed)).alias("h"), by.alias("by"), F.col("word").alias("word"))
+    # read by each of the steps: made once, on the executors' disks if need be
+    lexicon = lexicon.persist()
     n = lexicon.count()
     n_test, n_val = int(n * test), int(n * validation)
     if how == "source_oov":
         ours = F.coalesce(F.col("source") == "wikipron", F.lit(False))
-        val = first_by(lexicon.where(~ours), order, n_val)
+        [val] = first_by(lexicon.where(~ours), order, n_val)
         return lexicon.withColumn("part", F.when(ours, "test").when(val, "val").otherwise("train"))
-    return lexicon.withColumn("part", F.when(first_by(lexicon, order, n_test), "test").when(first_by(lexicon, order, n_test + n_val), "val").otherwise("train"))
+    test_rows, others = first_by(lexicon, order, n_test, n_test + n_val)
+    return lexicon.withColumn("part", F.when(test_rows, "test").when(others, "val").otherwise("train"))
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:

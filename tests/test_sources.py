@@ -137,3 +137,22 @@ def test_samples_and_limits(spark, tmp_path):
     assert sum(seen) == 25 and first.done() and not query.isActive
     with pytest.raises(ImportError, match="read_posts"):
         posts.live_client("no_such_client_here")
+
+
+def test_a_split_makes_its_lexicon_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    words = spark.range(0, 2000, 1, 4).select(F.concat(F.lit("w"), "id").alias("word"), F.lit("cmu").alias("source")).mapInArrow(count, "word string, source string")
+    parts = {r["part"]: r["count"] for r in L.split(words, "hard").groupBy("part").count().collect()}
+    assert parts == {"train": 1800, "val": 100, "test": 100} and made.value == 2000
+
+
+def test_phones_of_a_word_are_read_once(spark):
+    runs = spark.createDataFrame([("b ə i t ə",)], "ipa string").select(L.ipa_runs(F.col("ipa")).alias("n"))
+    assert runs.first()["n"] == 2
+    assert runs._jdf.queryExecution().analyzed().toString().count("split(") == 1
